@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, tokenfile
+from . import bpe, fingerprint, mixing, quality_rules, sharding, tokenfile
+from .shared import fresh_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,16 +26,63 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), BYTE_BPE, with_ids=False)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.apply_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_documents(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenfile.fresh_path(spark, "op9_token_file")
+    path = fresh_path(spark, "op9_token_file")
     tokenfile.write_token_file(_table(spark, sf_dir, "documents"), path, WORD_BPE)
     return tokenfile.token_index(spark, path)
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.place(_table(spark, sf_dir, "documents").select("doc_id"), SHARDS)
+    return sharding.place(placed, SHARDS[:-1], shard_col="shard_after_loss")
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_mixing": op4_mixing,
     "op9_token_file": op9_token_file,
+    "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP4_SQL = """
+WITH rows AS (
+    SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+        (CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+    FROM documents),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM rows GROUP BY source),
+weighed AS (SELECT *, [5, 2, 1][CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS INT)] AS w FROM sources),
+levels AS (
+    SELECT *, (1.5::DOUBLE * CAST(sum(source_size) OVER () AS DOUBLE) - CAST(coalesce(sum(2 * source_size) OVER b, 0) AS DOUBLE))
+        / CAST(sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS DOUBLE) AS level
+    FROM weighed WINDOW b AS (ORDER BY source_size / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+targets AS (SELECT source, source_size, least(CAST(2 * source_size AS DOUBLE), w * max(level) OVER ()) AS target FROM levels),
+shares AS (SELECT *, CASE WHEN source_size > 0 THEN least(CAST(floor(target / source_size) AS BIGINT), 2) ELSE 0 END AS whole FROM targets),
+odds AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size - whole ELSE 0 END AS p, target - whole * source_size AS missing FROM shares),
+ranked AS (
+    SELECT r.doc_id, r.source, r.size, o.source_size, o.target, o.whole, o.missing,
+        CASE WHEN p > 0 AND p < 1 THEN (u / (1 - u)) / (p / (1 - p)) ELSE u / (1 - u) END AS q
+    FROM rows r JOIN odds o ON r.source IS NOT DISTINCT FROM o.source),
+taken AS (
+    SELECT *, size > 0 AND sum(size) OVER (PARTITION BY source ORDER BY q, doc_id ROWS UNBOUNDED PRECEDING) <= missing AS more,
+        row_number() OVER (PARTITION BY source ORDER BY q, doc_id) AS n
+    FROM ranked),
+gaps AS (SELECT *, missing - coalesce(sum(size) FILTER (WHERE more) OVER (PARTITION BY source), 0) AS gap FROM taken),
+fits AS (SELECT source, n, row_number() OVER (PARTITION BY source ORDER BY size DESC, n) AS k FROM gaps WHERE NOT more AND size > 0 AND size <= gap AND whole < 2)
+SELECT g.doc_id, g.size, g.source_size, g.target, CAST(c * g.size AS BIGINT) AS taken, g.source, CAST(c AS INT) AS copies
+FROM (SELECT g.*, CASE WHEN size > 0 THEN whole + CASE WHEN more OR f.n IS NOT NULL THEN 1 ELSE 0 END ELSE 0 END AS c
+      FROM gaps g LEFT JOIN fits f ON f.k = 1 AND f.n = g.n AND f.source IS NOT DISTINCT FROM g.source) g
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_mixing": _OP4_SQL}

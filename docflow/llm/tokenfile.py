@@ -9,7 +9,6 @@ readers split at stripes and a look-up by id skips what can't hold it.
 from __future__ import annotations
 
 import os
-import uuid
 import zlib
 from functools import lru_cache
 
@@ -28,13 +27,6 @@ _MARKS = np.zeros(256, bool)
 _MARKS[[ord(c) for c in ".,;:!?"]] = True
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; where that is unset (tests), one below the
-    warehouse."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return (folder or spark.conf.get("spark.sql.warehouse.dir") + "/shared").rstrip("/")
-
-
 class WordEncoder:
     """Encodes texts by a tokenizers file whose pre-tokeniser never joins across ASCII white space, nor from an ASCII
     letter to one of `.,;:!?`: pieces cut there are encoded one by one, each distinct one once."""
@@ -128,8 +120,3 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
 
     rows = files.select("doc_id", "part", "pos", "ids").mapInArrow(run, "doc_id long, part int, pos long, n_tokens long, ids_crc32 long")
     return rows.join(F.broadcast(offsets), "part").select("doc_id", (F.col("offset") + F.col("pos")).alias("start"), "n_tokens", "ids_crc32")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -170,3 +170,35 @@ class SpanCache:
             self.start, self.count = np.concatenate([self.start, start])[order], np.concatenate([self.count, count])[order]
             at = np.searchsorted(self.keys, keys)
         return self.start[at][code], self.count[at][code]
+
+
+def whole_groups(batches_in: Iterable[pa.RecordBatch], same) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """From batches sorted by group: tables of whole groups, with the starts of the groups (and the end). same(table)
+    tells for each row but the first whether it is in the group of the row before it. What is held is one
+    batch and the group it ends in, so groups must have a bounded size."""
+    held = None
+    for batch in batches_in:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        if held is not None:
+            table = pa.concat_tables([held, table])
+        table = table.combine_chunks()
+        starts = np.concatenate([[0], np.flatnonzero(~same(table)) + 1])
+        if len(starts) > 1:
+            yield table.slice(0, int(starts[-1])), starts
+        held = table.slice(int(starts[-1]))
+    if held is not None:
+        yield held, np.array([0, held.num_rows])
+
+
+def fixed_width(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    """uint8 [rows, width] of a binary column whose values all have that width."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+        if isinstance(column, pa.ChunkedArray):
+            column = column.chunk(0) if column.num_chunks else pa.array([], column.type)
+    column = column.cast(pa.binary())
+    raw = np.frombuffer(column.buffers()[2], np.uint8) if len(column) else np.zeros(0, np.uint8)
+    first = np.frombuffer(column.buffers()[1], np.int32)[column.offset] if len(column) else 0
+    return raw[first : first + len(column) * width].reshape(-1, width)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, mixing, ngram_join, quality_rules, sharding, tokenfile
+from . import bpe, chunk_dedup, fingerprint, mixing, ngram_join, quality_rules, sharding, tokenfile
 from .shared import fresh_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -36,6 +36,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = chunk_dedup.dedup_substrings(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "_dedup.n_chars", "_dedup.removed_chars", F.size("_dedup.spans").alias("n_spans"), "text", "_dedup.spans", "_dedup.first_ids")
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "group_id")
 
@@ -56,6 +61,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_quality_rules": op3_quality_rules,
     "op4_mixing": op4_mixing,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_ngram_join": op6_ngram_join,
     "op9_token_file": op9_token_file,
     "op10_sharding": op10_sharding,

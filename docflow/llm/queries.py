@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunk_dedup, fingerprint, mixing, ngram_join, quality_rules, sharding, tokenfile
+from . import bpe, chunk_dedup, edit_counts, fingerprint, mixing, ngram_join, quality_model, quality_rules, sharding, tokenfile
 from .shared import fresh_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -45,6 +45,19 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "group_id")
 
 
+def op7_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits a document: words put in after a quarter, 30 characters deleted in the middle, and 10 at three
+    quarters replaced by the text's first 10."""
+    n = F.length("text")
+    edit = lambda start, gone, new: F.struct(start.cast("long").alias("start"), F.lit(gone).cast("long").alias("n_deleted"), new.alias("inserted"))
+    edits = F.array(edit(F.floor(n / 4), 0, F.lit(" put in, it's 42")), edit(F.floor(n / 2), 30, F.lit("")), edit(F.floor(3 * n / 4), 10, F.substring("text", 1, 10)))
+    return edit_counts.count_with_edits(_table(spark, sf_dir, "documents").select("doc_id", "text", edits.alias("edits")), BYTE_BPE)
+
+
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "op9_token_file")
     tokenfile.write_token_file(_table(spark, sf_dir, "documents"), path, WORD_BPE)
@@ -63,6 +76,8 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_ngram_join": op6_ngram_join,
+    "op7_edit_counts": op7_edit_counts,
+    "op8_quality_model": op8_quality_model,
     "op9_token_file": op9_token_file,
     "op10_sharding": op10_sharding,
 }

@@ -67,3 +67,21 @@ def mix_documents(
     extra = F.coalesce((F.col("bin") == -F.col("x.b")) & (F.col("n") == -F.col("x.k")), F.lit(False))
     copies = F.when(F.col("size") > 0, F.col("whole") + F.when(F.col("more") | extra, 1).otherwise(0)).otherwise(0)
     return out.select("doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+
+
+def apply_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of docs with all their columns, each as often as mix_documents takes it. Rows with equal id, source and size
+    share their copies out among them. Texts are shuffled once, to meet the number of copies by id."""
+    names = docs.columns
+    copies = mix_documents(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    # rows of one id, source and size can't be told apart here: the n-th of them in docs gets the n-th number of copies
+    alike = ["doc_id", "source", "size"]
+    count = copies.groupBy(*alike).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("copies")).where("copies[0] > 0")
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(id_col).alias("a"), F.col(source_col).alias("b"), size.alias("c"))
+    met = rows.join(count, F.col("a").eqNullSafe(F.col("doc_id")) & F.col("b").eqNullSafe(F.col("source")) & (F.col("c") == F.col("size")))
+    # almost all have one row each; where there are more, they are numbered
+    one = met.where(F.size("copies") == 1).select("row", F.col("copies")[0].alias("n"))
+    numbered = Window.partitionBy("a", "b", "c").orderBy(F.xxhash64("row"))
+    more = met.where(F.size("copies") > 1).withColumn("k", F.row_number().over(numbered)).select("row", F.get("copies", F.col("k") - 1).alias("n"))
+    return one.union(more).where("n > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select(*[F.col("row").getField(c).alias(c) for c in names])

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-DOC = Window.partitionBy("doc_id").orderBy("line_no")
+def _doc():
+    return Window.partitionBy("doc_id").orderBy("line_no")
 
 
 def dominant_font_size(lines: DataFrame) -> DataFrame:
@@ -26,8 +27,8 @@ def heading_levels(lines: DataFrame, outlines: DataFrame | None = None) -> DataF
     sized = lines.join(body, "doc_id").withColumn("_half", half)
     big = F.when((F.trim("text") != "") & (F.col("_half") >= F.greatest(F.lit(15.0), F.col("body_size") + 2)), F.col("_half"))
     ranks = sized.select("doc_id", big.alias("_size")).where("_size is not null").distinct()
-    ranks = ranks.withColumn("_rank", F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.desc("_size")))).where("_rank <= 6")
-    out = sized.join(ranks, (sized["doc_id"] == ranks["doc_id"]) & (sized["_half"] == ranks["_size"]), "left").drop(ranks["doc_id"])
+    ranks = ranks.withColumn("_rank", F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.desc("_size")))).where("_rank <= 6").withColumnRenamed("doc_id", "_rd")
+    out = sized.join(ranks, (F.col("doc_id") == F.col("_rd")) & (F.col("_half") == F.col("_size")), "left").drop("_rd")
     level = F.col("_rank")
     if outlines is not None:
         title = outlines.withColumn("_t", F.lower(T.normalize_text("title"))).where("_t != ''")
@@ -49,7 +50,7 @@ def tagged_heading_conflict(text: Column, size: Column, body: Column) -> Column:
 def continues_paragraph() -> Column:
     """Whether a line continues the paragraph of the line before it: same page, left edges within 4, sizes within 0.5,
     a gap of at most max(14, 1.35 times the size), and the line before doesn't end a sentence."""
-    lag = lambda c: F.lag(c).over(DOC)
+    lag = lambda c: F.lag(c).over(_doc())
     gap = lag("y") - F.col("y")
     geometry = T.is_finite("x") & T.is_finite("y") & T.is_finite(lag("x")) & T.is_finite(lag("y"))
     return F.coalesce(
@@ -62,7 +63,7 @@ def continues_paragraph() -> Column:
 def paragraph_islands(lines: DataFrame) -> DataFrame:
     """lines with paragraph_no: a running count of the lines that don't continue the one before."""
     flagged = lines.withColumn("_new", (~continues_paragraph()).cast("int"))
-    return flagged.withColumn("paragraph_no", F.sum("_new").over(DOC.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    return flagged.withColumn("paragraph_no", F.sum("_new").over(_doc().rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
 def join_parts(lines: DataFrame, group: list[str]) -> DataFrame:
@@ -79,15 +80,15 @@ def join_parts(lines: DataFrame, group: list[str]) -> DataFrame:
 def islands(lines: DataFrame, member: Column, joins: Column, name: str) -> DataFrame:
     """The lines with member, numbered by maximal runs: a run goes on while the line before is a member, too, and joins holds."""
     flagged = lines.withColumn("_m", F.coalesce(member, F.lit(False)))
-    follows = F.coalesce(F.lag("_m").over(DOC), F.lit(False)) & F.coalesce(joins, F.lit(False))
-    numbered = flagged.withColumn("_s", (F.col("_m") & ~follows).cast("int")).withColumn(name, F.sum("_s").over(DOC.rowsBetween(Window.unboundedPreceding, 0)))
+    follows = F.coalesce(F.lag("_m").over(_doc()), F.lit(False)) & F.coalesce(joins, F.lit(False))
+    numbered = flagged.withColumn("_s", (F.col("_m") & ~follows).cast("int")).withColumn(name, F.sum("_s").over(_doc().rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.where("_m").drop("_m", "_s")
 
 
 def close_below(factor: float = 2.0, least: float = 24.0) -> Column:
     """The line before is on the same page and at most max(least, factor * size) above."""
-    gap = F.lag("y").over(DOC) - F.col("y")
-    return (F.lag("page_index").over(DOC) == F.col("page_index")) & (gap > 0) & (gap <= F.greatest(F.lit(least), factor * F.col("font_size")))
+    gap = F.lag("y").over(_doc()) - F.col("y")
+    return (F.lag("page_index").over(_doc()) == F.col("page_index")) & (gap > 0) & (gap <= F.greatest(F.lit(least), factor * F.col("font_size")))
 
 
 def list_blocks(lines: DataFrame) -> DataFrame:
@@ -142,9 +143,9 @@ def document_blocks(lines: DataFrame) -> DataFrame:
     leveled = heading_levels(lines).where(F.trim("text") != "")
     kind = F.when(F.col("heading_level").isNotNull(), "heading").when(T.is_list_item("text"), "list").otherwise("paragraph")
     typed = leveled.withColumn("kind", kind)
-    before = F.lag("kind").over(DOC)
+    before = F.lag("kind").over(_doc())
     go_on = F.when(F.col("kind") == "list", before == "list").when(F.col("kind") == "paragraph", (before == "paragraph") & continues_paragraph()).otherwise(F.lit(False))
-    numbered = typed.withColumn("_new", (~F.coalesce(go_on, F.lit(False))).cast("int")).withColumn("block_no", F.sum("_new").over(DOC.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    numbered = typed.withColumn("_new", (~F.coalesce(go_on, F.lit(False))).cast("int")).withColumn("block_no", F.sum("_new").over(_doc().rowsBetween(Window.unboundedPreceding, 0)) - 1)
     w = Window.partitionBy("doc_id", "block_no").orderBy("line_no")
     t, nxt = T.normalize_text("text"), F.lead(T.normalize_text("text")).over(w)
     item = T.list_depth_text(F.lit(0), T.list_number("text"), T.escape_inline(T.list_text(t)))

@@ -13,6 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .textkernel import SPACE, batches, span_hashes, texts_of
 
@@ -177,7 +178,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     )
     per_doc = repeats.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("idx", "first_id")).alias("hits"))
     joined = whole.join(per_doc, ["doc_id", "tkey"], "left").select("row", "text", F.col("hits.idx").alias("idx"), F.col("hits.first_id").alias("first_id"))
-    row_type = joined.schema["row"].dataType.simpleString()
+    cut = StructType.fromDDL("text string, n_chars long, removed_chars long, spans array<struct<begin:long,end:long>>, first_ids array<long>")
 
     def run(it):
         for batch in it:
@@ -220,5 +221,5 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     names=["row", "text", "n_chars", "removed_chars", "spans", "first_ids"],
                 )
 
-    done = joined.mapInArrow(run, f"row {row_type}, text string, n_chars long, removed_chars long, spans array<struct<begin:long,end:long>>, first_ids array<long>")
+    done = joined.mapInArrow(run, StructType([joined.schema["row"], *cut.fields]))
     return done.select(*[F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in names], F.struct("n_chars", "removed_chars", "spans", "first_ids").alias("_dedup"))

@@ -19,6 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .shared import saved
 from .textkernel import batches, texts_of
@@ -47,7 +48,7 @@ def _rate(rule: str, col=F.col):
 def text_counts(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
     """The columns of keep, and the counts of every whole text. A null text has none of anything."""
     kept = docs.select(*[F.col(c) for c in keep], F.col(text_col).cast("string").alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[:-1]] + [f"{c} long" for c in COUNTS])
+    schema = StructType([*kept.schema.fields[:-1], *(StructField(c, LongType()) for c in COUNTS)])
 
     def run(it):
         for batch in it:

@@ -210,7 +210,7 @@ def caption_target(x) -> Column:
 
 
 def is_monospace(font) -> Column:
-    return F.coalesce(_c(font).rlike(r"(?i)(courier|mono|consol|menlo|typewriter|code)"), F.lit(False))
+    return F.coalesce(_c(font).rlike(r"(?i)(courier|mono|consolas|menlo|typewriter)"), F.lit(False))
 
 
 def is_code_like(x) -> Column:

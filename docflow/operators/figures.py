@@ -34,9 +34,8 @@ def detect_figures(lines: DataFrame, rulings: DataFrame, images: DataFrame) -> D
 
 
 def insert_figures(blocks: DataFrame, figures: DataFrame) -> DataFrame:
-    """blocks with an image reference before the block that begins with each figure's caption line, renumbered."""
-    name = F.concat(F.lit("figure-page-"), (F.col("page_index") + 1).cast("string"), F.lit("-"), F.col("figure_no").cast("string"))
-    refs = figures.select("doc_id", F.col("line_no").alias("first_line"), F.concat(F.lit("!["), F.lit("Figure "), F.coalesce(F.col("number"), F.col("figure_no")).cast("string"), F.lit("](assets/"), name, F.lit(".png)")).alias("text"))
+    """blocks with a placeholder before the block that begins with each figure's caption line, renumbered."""
+    refs = figures.select("doc_id", F.col("line_no").alias("first_line"), F.concat(F.lit("*[Figure "), F.coalesce(F.col("number"), F.col("figure_no")).cast("string"), F.lit(" preview unavailable; metadata retained.]*")).alias("text"))
     extra = refs.join(blocks.select("doc_id", "first_line", "block_no"), ["doc_id", "first_line"]).select("doc_id", "block_no", F.lit("figure").alias("kind"), "text", "first_line", F.lit(0).cast("long").alias("n_lines"))
     both = blocks.select("doc_id", "block_no", "kind", "text", "first_line", "n_lines").unionByName(extra)
     order = Window.partitionBy("doc_id").orderBy("block_no", (F.col("kind") != "figure").cast("int"))

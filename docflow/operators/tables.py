@@ -31,15 +31,17 @@ def gfm_tables(cells: DataFrame) -> DataFrame:
 
 
 def html_tables(cells: DataFrame) -> DataFrame:
-    """table_id, html: one line a row; row 0 in th; spans above 1 as attributes; covered cells left out.
+    """table_id, html: row 0 is the head; spans above 1 as attributes; covered cells left out.
     cells may have row_span, column_span and covered."""
     has = lambda c: c in cells.columns
     span = F.concat(*[F.when(F.col(c) > 1, F.concat(F.lit(f' {a}="'), F.col(c).cast("string"), F.lit('"'))).otherwise("") if has(c) else F.lit("") for c, a in (("row_span", "rowspan"), ("column_span", "colspan"))])
     tag = F.when(F.col("row_index") == 0, "th").otherwise("td")
-    cell = F.concat(F.lit("<"), tag, span, F.lit(">"), T.escape_html(T.collapse(F.coalesce("text", F.lit("")))), F.lit("</"), tag, F.lit(">"))
+    cell = F.concat(F.lit("      <"), tag, span, F.lit(">"), T.escape_html(T.collapse(F.coalesce("text", F.lit("")))), F.lit("</"), tag, F.lit(">\n"))
     shown = cells.where(~F.coalesce("covered", F.lit(False))) if has("covered") else cells
-    rows = shown.withColumn("t", cell).groupBy("table_id", "row_index").agg(F.concat(F.lit("<tr>"), F.array_join(_ordered(["column_index", "t"], "t"), ""), F.lit("</tr>")).alias("line"))
-    return rows.groupBy("table_id").agg(F.concat(F.lit("<table>\n"), F.array_join(_ordered(["row_index", "line"], "line"), "\n"), F.lit("\n</table>")).alias("html"))
+    rows = shown.withColumn("t", cell).groupBy("table_id", "row_index").agg(F.concat(F.lit("    <tr>\n"), F.array_join(_ordered(["column_index", "t"], "t"), ""), F.lit("    </tr>\n")).alias("line"))
+    tables = rows.groupBy("table_id").agg(_ordered(["row_index", "line"], "line").alias("lines"))
+    body = F.when(F.size("lines") > 1, F.concat(F.lit("  <tbody>\n"), F.array_join(F.slice("lines", F.lit(2), F.size("lines") - 1), ""), F.lit("  </tbody>\n"))).otherwise("")
+    return tables.select("table_id", F.concat(F.lit("<table>\n  <thead>\n"), F.col("lines")[0], F.lit("  </thead>\n"), body, F.lit("</table>")).alias("html"))
 
 
 def csv_sidecars(cells: DataFrame) -> DataFrame:

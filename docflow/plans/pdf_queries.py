@@ -1,6 +1,41 @@
-"""Queries over PDF files."""
+"""Queries over PDF files that are written from the driver's tables and read again."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from pyspark.sql import functions as F
+
+from ..operators.pipeline import convert_documents
+from ..sources.pdf.reader import parse_files, read_headers
+from ..sources.pdf.writer import write_pdfs
+
 SQL: dict[str, str] = {}
+
+
+def _pdfs(spark, sf_dir):
+    return write_pdfs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def pdf_roundtrip(spark, sf_dir):
+    """Documents to PDF bytes, and their lines read back."""
+    lines = parse_files(_pdfs(spark, sf_dir)).select(F.col("path").cast("long").alias("doc_id"), F.explode("lines").alias("l"))
+    return lines.select("doc_id", "l.line_no", "l.page_index", "l.text", "l.x", F.round("l.y", 3).alias("y"), "l.font_size")
+
+
+SQL["pdf_roundtrip"] = """WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INT) AS line_no, CAST(n // 46 AS INT) AS page_index, text, 72.0::DOUBLE AS x, 720.0::DOUBLE - 14 * (n % 46) AS y, 12.0::DOUBLE AS font_size FROM s WHERE trim(text) <> ''"""
+
+
+def pdf_headers(spark, sf_dir):
+    return read_headers(_pdfs(spark, sf_dir)).select(F.col("path").cast("long").alias("doc_id"), "pdf_version")
+
+
+SQL["pdf_headers"] = "SELECT doc_id, '1.7' AS pdf_version FROM documents"
+
+
+def pdf_convert(spark, sf_dir):
+    """Documents to PDF to Markdown: rows only."""
+    parsed = parse_files(_pdfs(spark, sf_dir))
+    return convert_documents(parsed).select("doc_id", "markdown", "mode", "source_type", F.size("blocks").alias("n_blocks"))
+
+
+QUERIES = {"pdf_roundtrip": pdf_roundtrip, "pdf_headers": pdf_headers, "pdf_convert": pdf_convert}

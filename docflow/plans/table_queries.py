@@ -63,8 +63,8 @@ def html_table(spark, sf_dir):
 SQL["html_table"] = f"""WITH {CELLS},
 c AS (SELECT table_id, row_index, column_index, CASE WHEN row_index = 0 THEN 'th' ELSE 'td' END AS tag, CASE WHEN row_index = 0 AND column_index = 2 THEN ' colspan="2"' ELSE '' END AS span,
     replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS t FROM cells WHERE NOT (row_index = 0 AND column_index = 3)),
-r AS (SELECT table_id, row_index, '<tr>' || string_agg('<' || tag || span || '>' || t || '</' || tag || '>', '' ORDER BY column_index) || '</tr>' AS line FROM c GROUP BY 1, 2)
-SELECT table_id, '<table>' || chr(10) || string_agg(line, chr(10) ORDER BY row_index) || chr(10) || '</table>' AS html FROM r GROUP BY 1"""
+r AS (SELECT table_id, row_index, '    <tr>' || chr(10) || string_agg('      <' || tag || span || '>' || t || '</' || tag || '>' || chr(10), '' ORDER BY column_index) || '    </tr>' || chr(10) AS line FROM c GROUP BY 1, 2)
+SELECT table_id, '<table>' || chr(10) || '  <thead>' || chr(10) || string_agg(line, '') FILTER (WHERE row_index = 0) || '  </thead>' || chr(10) || coalesce('  <tbody>' || chr(10) || string_agg(line, '' ORDER BY row_index) FILTER (WHERE row_index > 0) || '  </tbody>' || chr(10), '') || '</table>' AS html FROM r GROUP BY 1"""
 
 
 def csv_sidecar(spark, sf_dir):

@@ -65,7 +65,7 @@ class Interpreter:
         self.forms: list = []
 
     def run(self) -> None:
-        self._program(self.doc.content(self.page), self.page.resources, page_matrix(self.page))
+        self._program(self.doc.content(self.page), self.page.resources, page_matrix(self.page), IDENTITY)
         self._finish()
 
     def _budget(self) -> None:
@@ -75,9 +75,10 @@ class Interpreter:
         if len(self.lines) + len(self.rulings) + len(self.images) > self.doc.limits.max_outputs:
             raise PdfError("pdf.content.too_many_outputs", "a page has too many lines")
 
-    def _program(self, data: bytes, resources: dict, ctm) -> None:
+    def _program(self, data: bytes, resources: dict, ctm, upright) -> None:
+        """upright: the matrix without the page's rotation, by which text is vertical or not."""
         p = Parser(data, refs=False, max_depth=self.doc.limits.max_depth)
-        s = {"ctm": ctm, "font": None, "name": "", "size": 0.0, "tc": 0.0, "tw": 0.0, "tz": 1.0, "tl": 0.0, "ts": 0.0, "tr": 0, "w": 1.0}
+        s = {"ctm": ctm, "up": upright, "font": None, "name": "", "size": 0.0, "tc": 0.0, "tw": 0.0, "tz": 1.0, "tl": 0.0, "ts": 0.0, "tr": 0, "w": 1.0}
         stack: list[dict] = []
         tm = tlm = IDENTITY
         path: list[tuple] = []
@@ -110,7 +111,7 @@ class Interpreter:
             elif op == "Q":
                 s = stack.pop() if stack else s
             elif op == "cm" and (n := numbers(6)):
-                s["ctm"] = times(tuple(n), s["ctm"])
+                s["ctm"], s["up"] = times(tuple(n), s["ctm"]), times(tuple(n), s["up"])
             elif op == "BT":
                 tm = tlm = IDENTITY
                 self.text_object += 1
@@ -155,7 +156,7 @@ class Interpreter:
                 if self.mark_stack:
                     self.mark_stack.pop()
             elif op == "Do" and args and isinstance(args[-1], Name):
-                self._draw(args[-1], resources, s["ctm"])
+                self._draw(args[-1], resources, s["ctm"], s["up"])
             elif op == "BI":
                 self._inline(p.inline_image(), s["ctm"])
             elif op == "w" and (n := numbers(1)):
@@ -213,7 +214,7 @@ class Interpreter:
     def _inline(self, image: InlineImage, ctm) -> None:
         self._image("inline", ctm, image.info.get("W", image.info.get("Width")), image.info.get("H", image.info.get("Height")))
 
-    def _draw(self, name: str, resources: dict, ctm) -> None:
+    def _draw(self, name: str, resources: dict, ctm, upright) -> None:
         ref = (self.doc.load(resources.get("XObject")) or {}).get(name)
         x = self.doc.load(ref)
         if not isinstance(x, Stream):
@@ -227,7 +228,8 @@ class Interpreter:
             self.forms.append(x.key)
             m = [self.doc.load(v) for v in self.doc.load(x.info.get("Matrix")) or IDENTITY]
             inner = self.doc.load(x.info.get("Resources"))
-            self._program(self.doc.decoded(x), inner if isinstance(inner, dict) else resources, times(tuple(float(v) for v in m), ctm))
+            m = tuple(float(v) for v in m)
+            self._program(self.doc.decoded(x), inner if isinstance(inner, dict) else resources, times(m, ctm), times(m, upright))
             self.forms.pop()
 
     # text
@@ -268,7 +270,8 @@ class Interpreter:
         here, end = move(trm, 0, s["ts"]), move(trm, width, s["ts"])
         scale_y = math.hypot(trm[2], trm[3])
         high = abs(size) * scale_y
-        vertical = abs(trm[1]) > 1.25 * abs(trm[0])
+        way = times(tm, s["up"])
+        vertical = abs(way[1]) > 1.25 * abs(way[0])
         tag, mcid = next(((a, b) for a, b in reversed(self.mark_stack) if b is not None), ("", None))
         key = (self.text_object, self.serial, mcid)
         line = self.line
@@ -364,7 +367,7 @@ def scan_streams(data: bytes, limits) -> list[dict]:
             shell = Document.__new__(Document)
             shell.limits, shell.cache, shell.where, shell.open, shell.fonts = limits, {}, {}, set(), {}
             it = Interpreter(shell, page, {})
-            it._program(body, {}, IDENTITY)
+            it._program(body, {}, IDENTITY, IDENTITY)
             it._finish()
             out += [x | {"page_index": None} for x in it.lines]
         except (PdfError, ValueError, IndexError, KeyError, TypeError):

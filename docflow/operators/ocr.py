@@ -105,7 +105,7 @@ def page_languages(pages: DataFrame, defaults: list[str], overrides: DataFrame |
     base = F.array_distinct(F.array(*[F.lit(x.strip()) for x in defaults if x.strip()] or [F.lit("eng")]))
     if overrides is None:
         return pages.withColumn("languages", base)
-    last = overrides.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "page_index").orderBy(F.desc("ord")))).where("_n = 1").select("doc_id", "page_index", F.array_distinct(F.filter(F.transform("languages", F.trim), lambda x: x != "")).alias("_l"))
+    last = overrides.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "page_index").orderBy(F.desc("ord")))).where("_n = 1").select("doc_id", "page_index", F.array_distinct(F.filter(F.transform("languages", lambda x: F.trim(x)), lambda x: x != "")).alias("_l"))
     return pages.join(last, ["doc_id", "page_index"], "left").withColumn("languages", F.when(F.size("_l") > 0, F.col("_l")).otherwise(base)).drop("_l")
 
 

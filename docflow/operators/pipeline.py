@@ -15,7 +15,7 @@ from . import warnings as W
 from .convert import convert
 
 _LINE = S.StructType([*RELATIONS["lines"].fields])
-RESULT = S.StructType.fromDDL(
+RESULT = (
     "doc_id string, markdown string, blocks array<struct<block_no:int,kind:string,text:string,page_index:int,md_start:int,md_end:int>>, "
     "regions array<struct<md_start:int,md_end:int,kind:string,page_index:int,x:double,y:double,width:double,height:double>>, "
     "tables array<struct<page_index:int,kind:string,confidence:double,rows:int,columns:int>>, figures array<struct<page_index:int,figure_no:int,number:int,kind:string,x:double,y:double,width:double,height:double>>, "
@@ -66,7 +66,8 @@ def convert_documents(parsed: DataFrame, boxes: DataFrame | None = None, **optio
     lines, routed = select_lines(parsed, boxes)
     per_doc = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*_LINE.names))).alias("lines"))
     rest = parsed.select("doc_id", "rulings", "images", "outlines", F.col("warnings").alias("parse_warnings"))
-    arrow = to_arrow_schema(RESULT)
+    result = S.StructType.fromDDL(RESULT)
+    arrow = to_arrow_schema(result)
 
     def run(it):
         for batch in it:
@@ -85,7 +86,7 @@ def convert_documents(parsed: DataFrame, boxes: DataFrame | None = None, **optio
                 }
                 yield pa.RecordBatch.from_pylist([out], schema=arrow)
 
-    done = rest.join(per_doc, "doc_id", "left").select("doc_id", "lines", "rulings", "images", "outlines", "parse_warnings").mapInArrow(run, RESULT)
+    done = rest.join(per_doc, "doc_id", "left").select("doc_id", "lines", "rulings", "images", "outlines", "parse_warnings").mapInArrow(run, result)
     counts = lines.groupBy("doc_id").agg(F.count(F.when(F.col("source") != "ocr", 1)).alias("n_pdf_lines"), F.count(F.when(F.col("source") == "ocr", 1)).alias("n_ocr_lines"), F.avg(F.when(F.col("source") == "ocr", F.col("confidence"))).alias("ocr_confidence"), F.count_distinct("page_index").alias("n_layout_pages"))
     facts = done.select("doc_id", F.expr("aggregate(tables, cast(0 as double), (a, t) -> a + t.confidence) / nullif(size(tables), 0)").alias("table_confidence")).join(counts, "doc_id", "left").fillna(0, ["n_pdf_lines", "n_ocr_lines", "n_layout_pages"])
     scores = W.confidence(facts).select("doc_id", F.struct("overall", "text", "layout", "tables").alias("confidence")).join(W.extraction_mode(facts).select("doc_id", "mode"), "doc_id")

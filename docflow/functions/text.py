@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 LINK = r"(https?://[^\s<>()]+|www\.[^\s<>()]+|[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})"
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
-BLANKS = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
+_BLANK = r"\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+#: white space other than a single space between words, so that usual text has no match
+BLANKS = rf"(?:[{_BLANK}&&[^ ]]| (?=[{_BLANK}]))[{_BLANK}]*"
 CJK = r"[\x{2E80}-\x{303F}\x{3040}-\x{30FF}\x{3100}-\x{312F}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{FF01}-\x{FF60}]"
 RTL = r"[\x{0590}-\x{08FF}\x{FB1D}-\x{FDFF}\x{FE70}-\x{FEFF}]"
 LATIN = r"[A-Za-z\x{00C0}-\x{024F}]"
@@ -36,10 +38,10 @@ def collapse(x) -> Column:
 
 def normalize_text(x) -> Column:
     """Ligatures spelled out and white space collapsed. Full-width and presentation forms: normalize_forms."""
-    x = _c(x)
+    x = spelled = _c(x)
     for a, b in LIGATURES.items():
-        x = F.replace(x, F.lit(a), F.lit(b))
-    return collapse(x)
+        spelled = F.replace(spelled, F.lit(a), F.lit(b))
+    return collapse(F.when(x.rlike("[\\x{FB00}-\\x{FB06}]"), spelled).otherwise(x))
 
 
 def escape_markdown(x) -> Column:
@@ -66,6 +68,10 @@ def link_target(u: Column) -> Column:
 def escape_inline(x) -> Column:
     """Text between links escaped, links as autolinks with what was stripped behind them."""
     x = _c(x)
+    return F.when(x.contains("@") | x.contains("://") | x.contains("www."), _escape_linked(x)).otherwise(escape_markdown(x))
+
+
+def _escape_linked(x: Column) -> Column:
     marked = F.regexp_replace(x, LINK, "\x01$1\x02")
     parts = F.split(marked, "[\x01]")
     head = escape_markdown(F.element_at(parts, 1))

@@ -69,7 +69,8 @@ def paragraph_islands(lines: DataFrame) -> DataFrame:
 def join_parts(lines: DataFrame, group: list[str]) -> DataFrame:
     """One text for each group of lines: hyphens at line ends repaired, no space between CJK characters, else one."""
     w = Window.partitionBy(*group).orderBy("line_no")
-    t, nxt = T.normalize_text("text"), F.lead(T.normalize_text("text")).over(w)
+    t, nxt = F.col("_norm"), F.col("_next")
+    lines = lines.withColumn("_norm", T.normalize_text("text")).withColumn("_next", F.lead("_norm").over(w))
     piece = F.when(nxt.isNull(), t).when(T.repairs_hyphen(t, nxt), F.substring(t, 1, F.length(t) - 1)).otherwise(F.concat(t, T.part_separator(t, nxt)))
     return (
         lines.withColumn("_p", piece).groupBy(*group)
@@ -147,8 +148,9 @@ def document_blocks(lines: DataFrame) -> DataFrame:
     go_on = F.when(F.col("kind") == "list", before == "list").when(F.col("kind") == "paragraph", (before == "paragraph") & continues_paragraph()).otherwise(F.lit(False))
     numbered = typed.withColumn("_new", (~F.coalesce(go_on, F.lit(False))).cast("int")).withColumn("block_no", F.sum("_new").over(_doc().rowsBetween(Window.unboundedPreceding, 0)) - 1)
     w = Window.partitionBy("doc_id", "block_no").orderBy("line_no")
-    t, nxt = T.normalize_text("text"), F.lead(T.normalize_text("text")).over(w)
-    item = T.list_depth_text(F.lit(0), T.list_number("text"), T.escape_inline(T.list_text(t)))
+    t, nxt = F.col("_norm"), F.col("_next")
+    numbered = numbered.withColumn("_norm", T.normalize_text("text")).withColumn("_next", F.lead("_norm").over(w))
+    item = T.list_depth_text(F.lit(0), T.list_number(t), T.escape_inline(T.list_text(t)))
     part = F.when(nxt.isNull(), t).when(T.repairs_hyphen(t, nxt), F.substring(t, 1, F.length(t) - 1)).otherwise(F.concat(t, T.part_separator(t, nxt)))
     piece = F.when(F.col("kind") == "heading", t).when(F.col("kind") == "list", F.concat(item, F.when(nxt.isNull(), F.lit("")).otherwise(F.lit("\n")))).otherwise(part)
     blocks = numbered.withColumn("_p", piece).groupBy("doc_id", "block_no", "kind").agg(

@@ -256,16 +256,10 @@ class Interpreter:
     def _show(self, raw: bytes, s: dict, tm):
         font: Font | None = s["font"]
         size, tz = s["size"], s["tz"]
-        glyphs = font.glyphs(raw) if font else ((bytes([b]), chr(b), None) for b in raw)
-        text, width, measured = [], 0.0, True
-        for code, t, w in glyphs:
-            if w is None:
-                w, measured = 0.5, False
-            text.append(t)
-            width += (w * size + s["tc"] + (s["tw"] if code == b" " else 0.0)) * tz
-        if not text:
+        shown, ems, n, spaces, measured = font.measure(raw) if font else (raw.decode("latin-1"), 0.5 * len(raw), len(raw), raw.count(b" "), False)
+        if not shown:
             return tm
-        shown = "".join(text)
+        width = (ems * size + n * s["tc"] + spaces * s["tw"]) * tz
         trm = times(tm, s["ctm"])
         here, end = move(trm, 0, s["ts"]), move(trm, width, s["ts"])
         scale_y = math.hypot(trm[2], trm[3])

@@ -136,6 +136,7 @@ class Font:
     def __init__(self, info: dict, load, limit: int = 65536):
         get = lambda k: load(info.get(k))
         self.subtype, self.base = str(get("Subtype") or ""), str(get("BaseFont") or "")
+        self._bytes = None
         self.cmap = None
         stream = get("ToUnicode")
         if isinstance(stream, tuple):
@@ -195,6 +196,18 @@ class Font:
             else:
                 break
 
+    def measure(self, raw: bytes) -> tuple[str, float, int, int, bool]:
+        """A string's text, its width in ems (half an em for a glyph of unknown width), glyphs, single-byte spaces, and
+        whether all widths were known. Fonts of one byte a glyph are looked up by tables."""
+        if self.cmap or self.composite:
+            found = list(self.glyphs(raw))
+            return "".join(t for _, t, _ in found), sum(0.5 if w is None else w for _, _, w in found), len(found), sum(c == b" " for c, _, _ in found), all(w is not None for _, _, w in found)
+        if self._bytes is None:
+            all_ = list(self.glyphs(bytes(range(256))))
+            self._bytes = [t for _, t, _ in all_], [0.5 if w is None else w for _, _, w in all_], {c[0] for c, _, w in all_ if w is None}
+        texts, widths, unknown = self._bytes
+        return "".join(map(texts.__getitem__, raw)), sum(map(widths.__getitem__, raw)), len(raw), raw.count(b" "), not unknown or unknown.isdisjoint(raw)
+
     @property
     def confidence(self) -> float:
         return 0.95 if self.cmap and self.cmap.map else 0.75 if self.subtype in ("Type1", "TrueType") else 0.6

@@ -40,6 +40,7 @@ _BLANK = re.compile(rb"(?:[\0\t\n\x0c\r ]+|%[^\r\n]*)*")
 _REGULAR = re.compile(rb"[^\0\t\n\x0c\r ()<>\[\]{}/%]+")
 _NUMBER = re.compile(rb"[+-]?(?:\d+\.?\d*|\.\d+)$")
 _REF = re.compile(rb"(\d+)[\0\t\n\x0c\r ]+(\d+)[\0\t\n\x0c\r ]+R(?![^\0\t\n\x0c\r ()<>\[\]{}/%])")
+_PLAIN = re.compile(rb"\(([^()\\]*)\)")
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 END = Word("")
 
@@ -109,6 +110,9 @@ class Parser:
         return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
 
     def _literal(self) -> bytes:
+        if m := _PLAIN.match(self.data, self.at):
+            self.at = m.end()
+            return m[1]
         data, i, depth, out = self.data, self.at + 1, 1, bytearray()
         while i < len(data):
             c = data[i : i + 1]

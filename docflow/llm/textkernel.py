@@ -132,10 +132,11 @@ def ngram_hashes(word: np.ndarray, doc: np.ndarray, n_docs: int, n: int) -> tupl
 
 
 class SpanCache:
-    """What an encoder returns for each distinct byte string seen, by hash, as ragged integer rows. It holds at most
-    `limit` strings and starts anew beyond that, so memory is bounded; results don't depend on it."""
+    """What an encoder returns for each distinct byte string seen, by hash, as ragged integer rows. It holds about `limit`
+    strings at most; beyond that, those stay that several blocks have had, so memory is bounded. Results don't depend on
+    it."""
 
-    def __init__(self, encode, limit: int = 600_000):
+    def __init__(self, encode, limit: int = 800_000):
         self.encode, self.limit = encode, limit
         self.clear()
 
@@ -143,6 +144,15 @@ class SpanCache:
         self.keys = np.zeros(0, np.uint64)
         self.start = self.count = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
+        self.blocks = np.zeros(0, np.int32)  # how many blocks had each string
+
+    def _shrink(self) -> None:
+        keep = self.blocks > 1
+        if not 0 < keep.sum() <= self.limit // 2:
+            self.clear()
+            return
+        self.keys, start, self.count = self.keys[keep], self.start[keep], self.count[keep]
+        self.flat, self.start, self.blocks = ragged(self.flat, start, self.count), np.cumsum(self.count) - self.count, self.blocks[keep] // 2
 
     def rows(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start in self.flat and number of integers of each span."""
@@ -151,11 +161,10 @@ class SpanCache:
         if not len(starts):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         code, keys = pd.factorize(span_hashes(data, starts, ends))
-        if len(self.keys) + len(keys) > self.limit:
-            self.clear()
-        at = np.searchsorted(self.keys, keys)
-        known = at < len(self.keys)
-        known[known] = self.keys[at[known]] == keys[known]
+        at, known = self._find(keys)
+        if len(self.keys) + len(keys) - known.sum() > self.limit:
+            self._shrink()
+            at, known = self._find(keys)
         new = np.flatnonzero(~known)
         if len(new):
             first = np.full(len(keys), -1, np.int64)
@@ -168,9 +177,17 @@ class SpanCache:
             order = np.argsort(keys_all, kind="stable")
             self.keys = keys_all[order]
             self.start, self.count = np.concatenate([self.start, start])[order], np.concatenate([self.count, count])[order]
+            self.blocks = np.concatenate([self.blocks, np.zeros(len(new), np.int32)])[order]
             at = np.searchsorted(self.keys, keys)
+        self.blocks[at] += 1
         return self.start[at][code], self.count[at][code]
 
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.keys, keys)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == keys[known]
+        return at, known
+
 
 def whole_groups(batches_in: Iterable[pa.RecordBatch], same) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """From batches sorted by group: tables of whole groups, with the starts of the groups (and the end). same(table)

@@ -23,6 +23,8 @@ END_ID, ROW_GROUP = 1, 1000
 
 _LETTERS = np.zeros(256, bool)
 _LETTERS[[*range(65, 91), *range(97, 123)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _MARKS = np.zeros(256, bool)
 _MARKS[[ord(c) for c in ".,;:!?"]] = True
 
@@ -36,6 +38,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: whether the tokeniser lower-cases texts itself: pieces that differ in that are one then
+        self.lowers = [x.ids for x in self.tokenizer.encode_batch(["ABC Xyz", "abc xyz"], add_special_tokens=False)]
+        self.lowers = self.lowers[0] == self.lowers[1]
         self.cache = SpanCache(self._pieces)
 
     def _pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -46,6 +51,8 @@ class WordEncoder:
     def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each text's begin (and the total at the end)."""
         block = Block([t.encode() for t in texts])
+        if self.lowers and b"<|" not in block.data.tobytes():  # special tokens keep their case
+            block.data = _LOWER[block.data]
         inside = ~SPACE[block.data]
         begin = np.zeros(len(block.data), bool)
         begin[1:] = inside[1:] & (~inside[:-1] | (_LETTERS[block.data[:-1]] & _MARKS[block.data[1:]]))

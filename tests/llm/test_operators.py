@@ -361,9 +361,27 @@ def test_token_file(spark, docs, rows, empty):
     assert tokenfile.token_index(spark, other).count() == len(rows)
 
 
+def test_span_cache_when_full():
+    from docflow.llm.textkernel import Block, SpanCache
+
+    seen = []
+
+    def lengths(pieces):
+        seen.extend(pieces)
+        return np.array([len(p) for p in pieces]), np.ones(len(pieces), np.int64)
+
+    cache = SpanCache(lengths, limit=50)
+    for k in range(40):
+        b = Block([" ".join(["often", "seen"] + [f"w{k}x{j}" + "y" * (j % 5) for j in range(20)]).encode()])
+        s, e, _ = b.words()
+        start, count = cache.rows(b.data, s, e)
+        assert (cache.flat[start] == e - s).all() and (count == 1).all() and len(cache.keys) <= 72
+    assert seen.count(b"often") < 5
+
+
 def test_word_pieces_match_the_library():
     w, t, r = tokenfile.WordEncoder(WORD_BPE), Tokenizer.from_file(WORD_BPE), random.Random(3)
-    texts = ["".join(r.choice("ab'sS \n\t.,!?;:<|>x1é 　≠́İßΣΑ") for _ in range(r.randint(0, 30))) for _ in range(5000)] + ["x<|endoftext|>y <|endoftext|>.", "", "\x1c a\x85b.c"]
+    texts = ["".join(r.choice("ab'sS \n\t.,!?;:<|>x1éIAÉ 　≠̸́̇İßΣΑ") for _ in range(r.randint(0, 30))) for _ in range(5000)] + ["x<|endoftext|>y <|endoftext|>.", "<|EndOfText|> ABC", "", "\x1c a\x85b.c"]
     ids, at = w.encode(texts)
     for k, x in enumerate(texts):
         assert ids[at[k] : at[k + 1]].tolist() == t.encode(x, add_special_tokens=False).ids

@@ -170,7 +170,8 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     a digest occurs."""
     names = [c for c in docs.columns if c != "_dedup"]
     text = F.col(text_col).cast("string")
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc_id"), _text_key(text).alias("tkey"), text.alias("text"))
+    # the text travels once, beside the other columns
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names if c != text_col], F.lit(0).alias("_")).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc_id"), _text_key(text).alias("tkey"), text.alias("text"))
     rows = whole.select("doc_id", "tkey", "text").where("text is not null").mapInArrow(_chunks, "route long, d1 long, d2 int, doc_id long, tkey long, idx int, first_id long")
     repeats = (
         rows.repartition("route").sortWithinPartitions("d1", "d2", "doc_id", "tkey", "idx").select("d1", "d2", "doc_id", "tkey", "idx", "first_id")

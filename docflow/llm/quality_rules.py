@@ -1,18 +1,19 @@
 """Quality rules with risk-controlled thresholds (operator 3).
 
-Each rule compares a rate of a text with a cutoff; the cutoff is chosen per stratum (a language, say) from a fixed grid
-by labelled holdout rows. For the texts labelled good, whether a cutoff rejects them is a Bernoulli trial, and the exact
-binomial tail P(X <= k; n, alpha_rule) is the p-value of "it falsely rejects more than alpha_rule". From the mildest cutoff
-on, cutoffs are tested in fixed order until one isn't significant (so the grid needs no correction); the strictest
-that was passed is taken. Bonferroni: alpha_rule = alpha / rules, so that all rules together falsely reject at
-most alpha of a stratum's good texts, and each test has the level delta / (rules * strata), so that this holds for all
-strata at once with confidence 1 - delta. A stratum with too few labels to prove anything has no cutoffs: nothing is
-rejected there but by the base rule.
+Each rule compares a rate of a text with a cutoff. The cutoffs of all rules get stricter together in LEVELS steps, and
+a stratum (a language, say) gets the strictest level that labelled holdout rows prove safe. For the texts labelled good, whether
+a level rejects them by any rule is a Bernoulli trial, and the exact binomial tail P(X <= k; n, alpha) is the p-value
+of "it falsely rejects more than alpha". From the mildest level on, levels are tested in fixed order until one isn't
+significant, so the levels need no correction; over the strata it is Bonferroni's, delta / strata for each, so that with
+confidence 1 - delta no stratum loses more than alpha of its good texts. A stratum with too few labels to prove anything
+has no cutoffs: nothing is rejected there but by the base rule.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 
 import numpy as np
 import pandas as pd
@@ -25,17 +26,18 @@ from .shared import saved
 from .textkernel import batches, texts_of
 from .textstats import COUNTS, counts
 
-ALPHA, DELTA = 0.05, 0.05
+ALPHA, DELTA, LEVELS = 0.03, 0.05, 16
 
-#: rule -> (numerator, denominator, sign, grid from mild to strict); a text is rejected if sign * rate > sign * cutoff
+#: rule -> (numerator, denominator, sign, grid from mild to strict); a text is rejected if sign * rate > sign * cutoff.
+#: The grids end at values in common use for web text, so that proof alone can't drive them into ordinary text.
 RULES: dict[str, tuple[str, str, int, tuple[float, ...]]] = {
-    "symbols": ("n_symbols", "n_words", 1, (1.5, 1.0, 0.75, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02)),
-    "dup_lines": ("n_dup_lines", "n_lines", 1, (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1)),
-    "repeats": ("n_repeat_words", "n_words", 1, (0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1)),
-    "shouting": ("n_upper", "n_letters", 1, (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1)),
-    "exclaims": ("n_bangs", "n_words", 1, (1.5, 1.0, 0.75, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.06)),
-    "long_words": ("word_chars", "n_words", 1, (30.0, 20.0, 16.0, 14.0, 12.0, 11.0, 10.0, 9.5, 9.0)),
-    "short_words": ("word_chars", "n_words", -1, (1.5, 2.0, 2.5, 3.0, 3.25, 3.5)),
+    "symbols": ("n_symbols", "n_words", 1, (1.5, 1.0, 0.75, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1)),
+    "dup_lines": ("n_dup_lines", "n_lines", 1, (0.9, 0.8, 0.7, 0.6, 0.5, 0.45, 0.4, 0.35, 0.3)),
+    "repeats": ("n_repeat_words", "n_words", 1, (0.45, 0.4, 0.35, 0.3)),
+    "shouting": ("n_upper", "n_letters", 1, (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3)),
+    "exclaims": ("n_bangs", "n_words", 1, (1.5, 1.0, 0.75, 0.5, 0.4, 0.3, 0.25, 0.2)),
+    "long_words": ("word_chars", "n_words", 1, (30.0, 20.0, 16.0, 14.0, 12.0, 11.0, 10.0)),
+    "short_words": ("word_chars", "n_words", -1, (1.5, 2.0, 2.5, 2.75, 3.0)),
 }
 
 
@@ -45,6 +47,12 @@ def _rate(rule: str, col=F.col):
     return F.when(below > 0, col(top) / below).otherwise(F.lit(0.0) if RULES[rule][2] > 0 else F.lit(math.inf))
 
 
+def cutoff(rule: str, level: int) -> float:
+    """The rule's cutoff at a level of 0 (mild) to LEVELS - 1."""
+    grid = RULES[rule][3]
+    return grid[level * len(grid) // LEVELS]
+
+
 def text_counts(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
     """The columns of keep, and the counts of every whole text. A null text has none of anything."""
     kept = docs.select(*[F.col(c) for c in keep], F.col(text_col).cast("string").alias("__text"))
@@ -73,8 +81,8 @@ def binomial_tail(k: int, n: int, p: float) -> float:
 
 
 def choose(rejected: list[int], n: int, alpha: float, level: float) -> int:
-    """Index of the strictest cutoff proved to reject at most alpha of the good texts, testing from the first on;
-    -1 if none. rejected: how many of n good texts each cutoff rejects."""
+    """Index of the strictest level proved to reject at most alpha of the good texts, testing from the first on;
+    -1 if none. rejected: how many of n good texts each level rejects."""
     best = -1
     for g, k in enumerate(rejected):
         if n == 0 or k > alpha * n or binomial_tail(int(k), int(n), alpha) > level:
@@ -88,22 +96,22 @@ def fit_cutoffs(stats: DataFrame, labels: DataFrame, *, stratum_col: str = "lang
 
     Good texts are those with a label and no label other than 1; rows without label, or with a null one, say nothing."""
     good = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("__q"), F.max(label_col).alias("__r")).where("__q = 1 and __r = 1").select("__id")
-    names = [(r, g) for r in RULES for g in range(len(RULES[r][3]))]
-    beyond = [F.sum((F.lit(RULES[r][2]) * _rate(r) > RULES[r][2] * RULES[r][3][g]).cast("long")).alias(f"{r}_{g}") for r, g in names]
+    rejects = lambda g: functools.reduce(operator.or_, [F.lit(RULES[r][2]) * _rate(r) > RULES[r][2] * cutoff(r, g) for r in RULES])
+    names = [f"rejected_{g}" for g in range(LEVELS)]
+    beyond = [F.sum(rejects(g).cast("long")).alias(n) for g, n in enumerate(names)]
     seen = stats.join(good, stats[id_col] == good["__id"], "left_semi").groupBy(F.col(stratum_col).alias("stratum")).agg(F.count(F.lit(1)).alias("n_good"), *beyond)
     strata = stats.select(F.col(stratum_col).alias("stratum")).distinct()
     # one row a stratum; windows over all of them only to count them
     n_strata = strata.agg(F.count(F.lit(1)).alias("n_strata"))
-    table = strata.alias("a").join(seen.alias("b"), F.col("a.stratum").eqNullSafe(F.col("b.stratum")), "left").select("a.stratum", F.coalesce("n_good", F.lit(0)).alias("n_good"), *[F.coalesce(f"{r}_{g}", F.lit(0)).alias(f"{r}_{g}") for r, g in names]).join(F.broadcast(n_strata))
+    table = strata.alias("a").join(seen.alias("b"), F.col("a.stratum").eqNullSafe(F.col("b.stratum")), "left").select("a.stratum", F.coalesce("n_good", F.lit(0)).alias("n_good"), *[F.coalesce(n, F.lit(0)).alias(n) for n in names]).join(F.broadcast(n_strata))
     kind = table.schema["stratum"].dataType.simpleString()
 
     def run(it):
         for pdf in it:
-            level = delta / len(RULES) / pdf["n_strata"].clip(lower=1)
+            at = [choose([row[n] for n in names], row["n_good"], alpha, delta / max(row["n_strata"], 1)) for row in pdf[["n_good", "n_strata", *names]].to_dict("records")]
             out = pd.DataFrame({"stratum": pdf["stratum"], "n_good": pdf["n_good"]})
-            for r, (_, _, _, grid) in RULES.items():
-                at = [choose([pdf[f"{r}_{g}"].iloc[k] for g in range(len(grid))], pdf["n_good"].iloc[k], alpha / len(RULES), level.iloc[k]) for k in range(len(pdf))]
-                out[f"cut_{r}"] = pd.Series([None if a < 0 else grid[a] for a in at], dtype=object)
+            for r in RULES:
+                out[f"cut_{r}"] = pd.Series([None if a < 0 else cutoff(r, a) for a in at], dtype=object)
             yield out
 
     return table.mapInPandas(run, f"stratum {kind}, n_good long, " + ", ".join(f"cut_{r} double" for r in RULES))

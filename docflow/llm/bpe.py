@@ -16,7 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textkernel import SpanCache, batches, ragged, texts_of
+from .shared import small_batches
+from .textkernel import ENCODER_BYTES, SpanCache, batches, ragged, texts_of
 
 _LETTER, _NUMBER, _BLANK, _OTHER = 0, 1, 2, 3
 
@@ -235,13 +236,14 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
     """
     from pyspark.sql import functions as F
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def run(it):
         bpe = encoder(path)
         for batch in it:
-            for i, j in batches(batch.column(1)):
+            for i, j in batches(batch.column(1), ENCODER_BYTES):
                 part = batch.slice(i, j - i)
                 ids, at = bpe.encode(texts_of(part.column(1)))
                 size = np.concatenate([[0], np.cumsum(bpe.token_length[ids])])[at]

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .shared import small_batches
 from .textkernel import SPACE, batches, span_hashes, texts_of
 
 CHUNK_WORDS, MIN_CHUNK, MIN_BYTES = 4, 12, 80
@@ -168,6 +169,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Chunks are shuffled once, by digest, 1 row per distinct digest and batch of documents: a passage that many documents
     share is merged before the shuffle. Repeats then go to their documents. Memory doesn't depend on how often
     a digest occurs."""
+    small_batches(docs.sparkSession, 5000)
     names = [c for c in docs.columns if c != "_dedup"]
     text = F.col(text_col).cast("string")
     # the text travels once, beside the other columns

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import ByteBPE, encoder, pretoken_spans
-from .textkernel import BLOCK_BYTES, batches, texts_of
+from .shared import small_batches
+from .textkernel import ENCODER_BYTES, batches, texts_of
 
 EDITS_TYPE = "array<struct<start:long,n_deleted:long,inserted:string>>"
 
@@ -149,13 +150,14 @@ def count_with_edits(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
     that the edits had encoded). Null texts count as empty, null edits as none, null members of an edit as 0
     or empty; positions beyond the text are clipped. Rows are independent, so repeats and null ids stay; other columns are
     dropped, whatever their names. An empty table gives an empty table."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["n_chars", "n_tokens", "n_pretokens", "n_edits", "edited_chars", "edited_tokens", "n_encoded"]
 
     def run(it):
         bpe = encoder(path)
         for batch in it:
-            for i, j in batches(batch.column(1), BLOCK_BYTES // 2):
+            for i, j in batches(batch.column(1), ENCODER_BYTES // 2):
                 part = batch.slice(i, j - i)
                 texts = texts_of(part.column(1))
                 data, begin, end, at, char_at = pretoken_spans(texts)

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
 from .textkernel import BLOCK_BYTES, Block, batches, ngram_hashes, span_hashes, texts_of
 
 SAMPLES, WINDOW = 64, 3
@@ -121,6 +122,7 @@ def compare_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     and what the driver holds is one id a partition.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("k"), F.col(id_col).isNull().alias("void"), F.col(text_col).cast("string").alias("t"))
     keys = rows.select("k")
@@ -151,7 +153,7 @@ def compare_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     def run(it):
         held: list[tuple] = []  # the last row so far, without its successor
         for batch in it:
-            for i, j in batches(batch.column("t"), BLOCK_BYTES // 2):
+            for i, j in batches(batch.column("t"), BLOCK_BYTES):
                 part = batch.slice(i, j - i)
                 held += zip(part.column("k").to_pylist(), part.column("void").to_pylist(), part.column("p").to_pylist(), texts_of(part.column("t")))
                 now = [x for x in range(len(held) - 1) if not held[x][2] & 1]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .shared import saved
+from .shared import saved, small_batches
 from .textkernel import batches, texts_of
 from .textstats import COUNTS, counts
 
@@ -53,10 +53,11 @@ def cutoff(rule: str, level: int) -> float:
     return grid[level * len(grid) // LEVELS]
 
 
-def text_counts(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
-    """The columns of keep, and the counts of every whole text. A null text has none of anything."""
+def text_counts(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id", "lang"), with_text: bool = False) -> DataFrame:
+    """The columns of keep, the text as __text if with_text, and the counts of every whole text. A null text has none of anything."""
+    small_batches(docs.sparkSession)
     kept = docs.select(*[F.col(c) for c in keep], F.col(text_col).cast("string").alias("__text"))
-    schema = StructType([*kept.schema.fields[:-1], *(StructField(c, LongType()) for c in COUNTS)])
+    schema = StructType([*(kept.schema.fields if with_text else kept.schema.fields[:-1]), *(StructField(c, LongType()) for c in COUNTS)])
 
     def run(it):
         for batch in it:
@@ -64,7 +65,8 @@ def text_counts(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ...
             for i, j in batches(batch.column(column)):
                 part = batch.slice(i, j - i)
                 found = counts([t.encode() for t in texts_of(part.column(column))])
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(found[:, k].copy()) for k in range(len(COUNTS)))], names=[*batch.schema.names[:-1], *COUNTS])
+                n = column + with_text
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], *(pa.array(found[:, k].copy()) for k in range(len(COUNTS)))], names=[*batch.schema.names[:n], *COUNTS])
 
     return kept.mapInArrow(run, schema)
 
@@ -144,5 +146,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", tex
     names = docs.columns
     stats = text_counts(docs.select(F.col(id_col).alias("doc_id"), F.col(stratum_col).alias("lang"), F.col(text_col).alias("text")))
     cutoffs = saved(fit_cutoffs(saved(stats, "quality_counts"), labels.select(F.col(id_col).alias("doc_id"), F.col("quality")), alpha=alpha, delta=delta), "quality_cutoffs")
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text_col).alias("text"), F.col(stratum_col).alias("lang"))
-    return judge(text_counts(whole, keep=("row", "lang")), cutoffs).where("kept").select(*[F.col("row").getField(c).alias(c) for c in names])
+    # the text travels once, beside the other columns
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names if c != text_col], F.lit(0).alias("_")).alias("row"), F.col(text_col).alias("text"), F.col(stratum_col).alias("lang"))
+    judged = judge(text_counts(whole, keep=("row", "lang"), with_text=True), cutoffs).where("kept")
+    return judged.select(*[(F.col("__text") if c == text_col else F.col("row").getField(c)).alias(c) for c in names])

@@ -18,6 +18,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Whole documents go to Python in Arrow batches of so many rows, if the session has Spark's default of 10,000."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written to the shared folder and read from there: computed once, and lost with no executor."""
     path = fresh_path(df.sparkSession, name)

@@ -12,8 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Documents are processed in blocks of about this many bytes.
-BLOCK_BYTES = 4 << 20
+#: Documents are processed in blocks of about this many bytes; where a block's new strings are encoded together, of more.
+BLOCK_BYTES, ENCODER_BYTES = 1 << 20, 4 << 20
 
 _U = np.uint64
 _MULT = (0x9E3779B97F4A7C15 & ~7 | 5, 0xC2B2AE3D27D4EB4F & ~7 | 5)
@@ -71,7 +71,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def _power(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _powers.get(which)
     if have is None or len(have[0]) < n:
-        size = max(n, BLOCK_BYTES + (BLOCK_BYTES >> 2))
+        size = max(n + (n >> 3), BLOCK_BYTES + (BLOCK_BYTES >> 2))
         p, inverse = _MULT[which], pow(_MULT[which], -1, 1 << 64)
         have = []
         for base in (p, inverse):
@@ -82,7 +82,7 @@ def _power(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
                 out[done : done + k] = out[:k] * _U(step)
                 step, done = step * step & (1 << 64) - 1, done + k
             have.append(out)
-        if size <= 4 * BLOCK_BYTES:
+        if size <= 2 * ENCODER_BYTES:
             _powers[which] = tuple(have)
     return have[0], have[1]
 

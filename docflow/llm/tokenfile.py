@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .textkernel import SPACE, Block, SpanCache, batches, ragged, texts_of
+from .shared import small_batches
+from .textkernel import ENCODER_BYTES, SPACE, Block, SpanCache, batches, ragged, texts_of
 
 END_ID, ROW_GROUP = 1, 1000
 
@@ -79,6 +80,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, *, id_col: str
     order. Texts are shuffled once, by ranges of the id. Null texts count as empty (end_id alone); null ids come
     first, rows of one id in the order of their texts. Other columns are dropped, whatever their names."""
     spark = docs.sparkSession
+    small_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
 
@@ -87,7 +89,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, *, id_col: str
 
         part_no, pos, enc = TaskContext.get().partitionId(), 0, word_encoder(tokenizer)
         for batch in it:
-            for i, j in batches(batch.column(1)):
+            for i, j in batches(batch.column(1), ENCODER_BYTES):
                 part = batch.slice(i, j - i)
                 ids, at = enc.encode(texts_of(part.column(1)), end_id)
                 yield pa.RecordBatch.from_arrays(

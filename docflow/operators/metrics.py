@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..functions import text as T
+from ..functions.edit_distance import characters, edit_distance
 from .tables import multiset_match, with_scores
 
 
@@ -22,10 +25,29 @@ def text_coverage(pairs: DataFrame) -> DataFrame:
     return out.select("id", "n_expected", "n_actual", "n_matched", F.when(F.col("n_expected") == 0, 1.0).otherwise(F.col("n_matched") / F.col("n_expected")).alias("coverage"))
 
 
+def _error_rates(pairs: DataFrame, pieces) -> DataFrame:
+    """id, distance and rate of pairs (id, a, b). pieces: of the Arrow columns a and b, yields rows' number and their two sequences."""
+
+    def run(it):
+        for batch in it:
+            distance, rate = [None] * batch.num_rows, [None] * batch.num_rows
+            for k, a, b in pieces(batch.column(1), batch.column(2)):
+                distance[k] = edit_distance(a, b)
+                rate[k] = distance[k] / max(len(a), 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(distance, pa.int32()), pa.array(rate, pa.float64())], names=["id", "distance", "rate"])
+
+    return pairs.mapInArrow(run, StructType([pairs.schema["id"], StructField("distance", IntegerType()), StructField("rate", DoubleType())]))
+
+
 def character_error_rate(pairs: DataFrame) -> DataFrame:
-    """id, distance and rate (distance by the length of expected, 1 at least)."""
-    d = F.levenshtein("expected", "actual")
-    return pairs.select("id", d.alias("distance"), (d / F.greatest(F.length("expected"), F.lit(1))).alias("rate"))
+    """id, distance and rate (distance by the length of expected, 1 at least), over the whole texts."""
+
+    def pieces(a, b):
+        for k, (x, y) in enumerate(zip(a, b)):
+            if x.is_valid and y.is_valid:
+                yield k, characters(x.as_py()), characters(y.as_py())
+
+    return _error_rates(pairs.select("id", "expected", "actual"), pieces)
 
 
 def token_error_rate(pairs: DataFrame) -> DataFrame:

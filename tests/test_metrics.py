@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from docflow.functions import edit_distance as E
+from docflow.operators import metrics as M
 from docflow.plans import table_queries as Q
 
 
@@ -60,3 +61,11 @@ def test_character_error_rate_takes_the_whole_text(spark, tables):
         assert chars[k].distance == brute(t, noisy) and chars[k].rate == brute(t, noisy) / max(len(t), 1)
         only = ["".join(c for c in x if ord(c) > 127) for x in (t, noisy)]
         assert beyond[k].distance == brute(*only) and beyond[k].accuracy == 1 - min(brute(*only) / max(len(only[0]), 1), 1.0)
+
+
+def test_token_error_rate_of_many_distinct_tokens(spark):
+    words = [f"w{k}" for k in range(6500)]
+    moved = words[:10] + ["new"] + words[10:3000] + words[3001:] + ["x", "y"]
+    rows = [(1, " ".join(words), " ".join(moved)), (2, None, "a"), (3, "a b c", "b c d"), (4, "", "")]
+    out = {r.id: r for r in M.token_error_rate(spark.createDataFrame(rows, "id int, expected string, actual string").coalesce(1)).collect()}
+    assert [out[k].distance for k in (1, 2, 3, 4)] == [4, None, 2, 0] and out[1].rate == 4 / 6500 and out[4].rate == 0

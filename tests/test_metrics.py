@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -63,6 +64,19 @@ def test_character_error_rate_takes_the_whole_text(spark, tables):
         assert beyond[k].distance == brute(*only) and beyond[k].accuracy == 1 - min(brute(*only) / max(len(only[0]), 1), 1.0)
 
 
+def test_word_error_rate_takes_all_words(spark, tables):
+    path, texts = tables
+    out = {r.id: r for r in Q.word_error_rate(spark, path).collect()}
+    assert out.keys() == texts.keys()
+    for k, t in texts.items():
+        if t is None:
+            assert out[k].distance is None
+            continue
+        w = re.findall(r"\w+", t.lower())
+        noisy = ["zzzzq" if i % 7 == 3 else x for i, x in enumerate(w)] + ["yyyyq"]
+        assert out[k].distance == brute(w, noisy) and out[k].rate == brute(w, noisy) / max(len(w), 1)
+
+
 def test_token_error_rate_of_many_distinct_tokens(spark):
     words = [f"w{k}" for k in range(6500)]
     moved = words[:10] + ["new"] + words[10:3000] + words[3001:] + ["x", "y"]

@@ -98,6 +98,10 @@ def _chunks(it):
     for batch in it:
         order = np.lexsort((batch.column(1).to_numpy(), batch.column(0).to_numpy()))
         batch = batch.take(pa.array(order))
+        ids, tkey = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        new = np.ones(len(ids), bool)  # not a copy of the row before
+        new[1:] = (ids[1:] != ids[:-1]) | (tkey[1:] != tkey[:-1])
+        batch = batch.filter(pa.array(new))
         for i, j in batches(batch.column(2), 32 << 20):
             part = batch.slice(i, j - i)
             out = []
@@ -124,8 +128,9 @@ def _chunks(it):
 
 
 def _repeats(it):
-    """Rows sorted by digest, id, place -> the repeats: doc_id, tkey, idx, first_id."""
-    held = None  # digest and id of the first occurrence of the last digest
+    """Rows sorted by digest, id, place -> the repeats: doc_id, tkey, idx, first_id. A row equal to the first one of its
+    digest is that occurrence, met in another batch of documents, and no repeat."""
+    held = None  # digest, and id, text and place of the first occurrence, of the last digest
     for batch in it:
         if not batch.num_rows:
             continue
@@ -138,13 +143,13 @@ def _repeats(it):
         if len(at) and held is not None and held[:2] == (int(a[0]), int(b[0])):
             new[0] = False
         group = np.cumsum(new) - 1
-        firsts = ids[at[new]]
-        lead = np.where(group >= 0, firsts[np.maximum(group, 0)] if len(firsts) else 0, held[2] if held else 0)
+        firsts = at[new]
+        lead, *place = (np.where(group >= 0, x[firsts][np.maximum(group, 0)] if len(firsts) else 0, h) for x, h in zip((ids, tkey, idx), held[2:] if held else (0, 0, 0)))
         if len(at):
-            held = (int(a[-1]), int(b[-1]), int(lead[-1]))
-        again = at[~new]
-        rows = np.concatenate([np.flatnonzero(known), again])
-        first_id = np.concatenate([batch.column(5).drop_null().to_numpy(), lead[~new]])
+            held = (int(a[-1]), int(b[-1]), int(lead[-1]), int(place[0][-1]), int(place[1][-1]))
+        again = (ids[at] != lead) | (tkey[at] != place[0]) | (idx[at] != place[1])
+        rows = np.concatenate([np.flatnonzero(known), at[again]])
+        first_id = np.concatenate([batch.column(5).drop_null().to_numpy(), lead[again]])
         if len(rows):
             yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(tkey[rows]), pa.array(idx[rows]), pa.array(first_id.astype(np.int64))], names=["doc_id", "tkey", "idx", "first_id"])
 

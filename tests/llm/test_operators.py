@@ -221,6 +221,19 @@ def test_substring_dedup(spark, docs, rows, empty):
     assert chunk_dedup.dedup_substrings(empty).count() == 0
 
 
+def test_substring_dedup_keeps_the_text_of_copied_rows(spark):
+    t, inner = text(120, 301), text(60, 302)
+    twice = inner + " " + text(40, 303) + " " + inner
+    rows = [(1, t), (1, t), (2, t), (3, twice), (3, twice), (None, text(90, 304)), (None, text(90, 304))]
+    for parts in (1, 7):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        out = [(r.doc_id, r.text, r._dedup.removed_chars) for r in chunk_dedup.dedup_substrings(docs).collect()]
+        assert sorted(x for i, x, _ in out if i == 1) == [t, t] and [x for i, x, _ in out if i == 2] == [""]
+        assert [x for i, x, _ in out if i is None] == [rows[-1][1]] * 2
+        kept = [x for i, x, n in out if i == 3]
+        assert kept[0] == kept[1] and inner in kept[0] and len(kept[0]) < len(twice) - 150
+
+
 def test_chunks_resist_shifts():
     t = text(2000, 4).encode()
     data, start, stop, doc, begin = chunk_dedup.chunk_spans([t, b"inserted words here " + t, t[:5000] + b" one more " + t[5000:]])

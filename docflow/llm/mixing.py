@@ -3,12 +3,14 @@
 A source's target is its share, by weight, of a budget of words, at most max_copies times its size; what is above goes
 to the others by weight. Expected copies of its documents: f = target / size. Each is taken floor(f) times for certain; for
 the rest, inclusion probability p = f - floor(f), documents are ranked by Q = odds(u) / odds(p), u a hash of the id, and taken
-in ascending order of Q as long as the words fit what is missing. The gap that is left is closed by one more document, the
-longest that fits it.
+in ascending order of Q as long as the words fit what is missing, then the longest that fits the gap; and so on with those
+that fit what is left, until none does.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,22 @@ def source_targets(sizes: DataFrame, *, ratio: float, max_copies: int, weights:
     return numbered.withColumn("level", level).withColumn("target", F.least((F.col("source_size") * max_copies).cast("double"), F.col("w") * F.max("level").over(everything))).select("source", "source_size", "target")
 
 
+def _one_round(left: DataFrame) -> DataFrame:
+    """Documents (source, bin, n, size, gap) that fit their source's gap one by one -> the same, with took and the gap left."""
+    in_bin = Window.partitionBy("source", "bin").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    below = left.groupBy(F.col("source").alias("s2"), F.col("bin").alias("b2")).agg(F.sum("size").alias("words"))
+    below = below.withColumn("below", F.sum("words").over(Window.partitionBy("s2").orderBy("b2")) - F.col("words")).drop("words")
+    summed = left.withColumn("so_far", F.sum("size").over(in_bin))
+    summed = summed.join(below, summed["source"].eqNullSafe(below["s2"]) & (summed["bin"] == below["b2"]))
+    ranked = saved(summed.select("source", "bin", "n", "size", "gap", (F.col("below") + F.col("so_far") <= F.col("gap")).alias("took")), "mix_pass")
+    gaps = saved(ranked.groupBy(F.col("source").alias("s3")).agg((F.first("gap") - F.coalesce(F.sum(F.when(F.col("took"), F.col("size"))), F.lit(0))).alias("rest")), "mix_gaps")
+    fits = ranked.where("not took").join(gaps, F.col("source").eqNullSafe(F.col("s3"))).where("size <= rest")
+    last = fits.groupBy(F.col("source").alias("s4")).agg(F.max(F.struct("size", (-F.col("bin")).alias("b"), (-F.col("n")).alias("k"))).alias("x"))
+    last = saved(gaps.join(last, F.col("s3").eqNullSafe(F.col("s4")), "left").select("s3", (F.col("rest") - F.coalesce("x.size", F.lit(0))).alias("rest"), (-F.col("x.b")).alias("b"), (-F.col("x.k")).alias("k")), "mix_last")
+    extra = F.coalesce((F.col("bin") == F.col("b")) & (F.col("n") == F.col("k")), F.lit(False))
+    return ranked.join(last, F.col("source").eqNullSafe(F.col("s3"))).select("source", "bin", "n", "size", F.col("rest").alias("gap"), (F.col("took") | extra).alias("took"))
+
+
 def mix_documents(
     docs: DataFrame, *, ratio: float = 1.5, max_copies: int = 2, weights: tuple[int, ...] = (5, 2, 1), seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
 ) -> DataFrame:
@@ -42,7 +60,9 @@ def mix_documents(
     columns are dropped, whatever their names. An empty table gives an empty table.
 
     Texts are read once; all that is shuffled are ids and sizes. A source is never in one task: ranks are summed in
-    BINS bins a source, and only within a bin are rows put in order.
+    BINS bins a source, and only within a bin are rows put in order. A round passes over the documents that still fit. After
+    a document is taken for its length none longer is left, so the next round ends with a gap below that length: the
+    number of rounds grows with the logarithm of the gap; most tables need one or two.
     """
     draw = (F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") + 0.5) / 2.0**52
     rows = saved(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), draw.alias("u")), "mix_sizes")
@@ -54,18 +74,16 @@ def mix_documents(
     ranked = rows.join(known, rows["source"].eqNullSafe(known["s"])).withColumn("q", F.when((F.col("p") > 0) & (F.col("p") < 1), odds).otherwise(F.col("u") / (1 - F.col("u"))))
     ranked = ranked.withColumn("bin", F.floor(F.col("q") / (1 + F.col("q")) * BINS)).withColumn("missing", F.col("target") - F.col("whole") * F.col("source_size"))
     in_bin = Window.partitionBy("source", "bin").orderBy("q", "doc_id")
-    ranked = ranked.withColumn("n", F.row_number().over(in_bin)).withColumn("so_far", F.sum("size").over(in_bin.rowsBetween(Window.unboundedPreceding, 0)))
-    below = ranked.groupBy(F.col("source").alias("s2"), F.col("bin").alias("b2")).agg(F.sum("size").alias("words"))
-    below = below.withColumn("below", F.sum("words").over(Window.partitionBy("s2").orderBy("b2")) - F.col("words")).drop("words")
-    chosen = ranked.join(below, ranked["source"].eqNullSafe(below["s2"]) & (ranked["bin"] == below["b2"])).withColumn("so_far", F.col("below") + F.col("so_far"))
-    chosen = saved(chosen.withColumn("more", (F.col("size") > 0) & (F.col("so_far") <= F.col("missing"))).select("doc_id", "source", "size", "source_size", "target", "whole", "missing", "bin", "n", "so_far", "more"), "mix_ranked")
-    gap = chosen.groupBy(F.col("source").alias("s3")).agg(F.first("missing").alias("m"), F.coalesce(F.sum(F.when(F.col("more"), F.col("size"))), F.lit(0)).alias("got")).select("s3", (F.col("m") - F.col("got")).alias("gap"))
-    gap = saved(gap, "mix_gaps")
-    last = chosen.join(gap, chosen["source"].eqNullSafe(gap["s3"])).where(~F.col("more") & (F.col("size") > 0) & (F.col("size") <= F.col("gap")) & (F.col("whole") < max_copies))
-    last = saved(last.groupBy(F.col("source").alias("s4")).agg(F.max(F.struct("size", (-F.col("bin")).alias("b"), (-F.col("n")).alias("k"))).alias("x")), "mix_last")
-    out = chosen.join(last, chosen["source"].eqNullSafe(last["s4"]), "left")
-    extra = F.coalesce((F.col("bin") == -F.col("x.b")) & (F.col("n") == -F.col("x.k")), F.lit(False))
-    copies = F.when(F.col("size") > 0, F.col("whole") + F.when(F.col("more") | extra, 1).otherwise(0)).otherwise(0)
+    ranked = saved(ranked.withColumn("n", F.row_number().over(in_bin)).select("doc_id", "source", "size", "source_size", "target", "whole", "missing", "bin", "n"), "mix_ranked")
+    left = ranked.where((F.col("size") > 0) & (F.col("whole") < max_copies) & (F.col("size") <= F.col("missing"))).select("source", "bin", "n", "size", F.col("missing").alias("gap"))
+    rounds = []
+    while not rounds or not left.isEmpty():
+        taken = saved(_one_round(left), "mix_round")
+        rounds.append(taken.where("took").select(F.col("source").alias("s2"), F.col("bin").alias("b2"), F.col("n").alias("n2"), F.lit(1).alias("more")))
+        left = taken.where("not took and size <= gap").drop("took")
+    more = reduce(DataFrame.union, rounds)
+    out = ranked.join(more, ranked["source"].eqNullSafe(more["s2"]) & (ranked["bin"] == more["b2"]) & (ranked["n"] == more["n2"]), "left")
+    copies = F.when(F.col("size") > 0, F.col("whole") + F.coalesce("more", F.lit(0))).otherwise(0)
     return out.select("doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 

@@ -188,6 +188,18 @@ def test_mixing(spark, docs, rows, empty):
     assert applied.count() == sum(r.copies for r in out) and mixing.apply_mix(empty).count() == 0
 
 
+def test_mixing_fills_past_documents_that_do_not_fit(spark):
+    for seed in range(3):
+        sizes = [10] * 60 + [1000, 1000, 301, 302] + [1, 2, 3]
+        docs = spark.createDataFrame([(k, "w " * n, "a") for k, n in enumerate(sizes)] + [(900, "w " * 7, None), (901, "w", None)], "doc_id long, text string, source string")
+        out = mixing.mix_documents(docs, ratio=0.2, seed=f"m{seed}").collect()
+        assert len(out) == len(sizes) + 2
+        for s in ("a", None):
+            mine = [r for r in out if r.source == s]
+            gap = mine[0].target - sum(r.taken for r in mine)
+            assert gap > -1e-6 and all(r.size > gap for r in mine if r.copies < 1)
+
+
 def test_pareto_inclusion_is_near_its_probability(spark):
     n, hits = 400, Counter()
     docs = spark.createDataFrame([(k, "w " * (1 + k % 3), "a" if k % 2 else "b") for k in range(n)], "doc_id long, text string, source string")

@@ -284,7 +284,7 @@ SQL["markdown_ast_diff"] = "SELECT doc_id AS id, 2::BIGINT AS n_differences, '0:
 
 
 def rendered_html_stats(spark, sf_dir):
-    return M.rendered_html_stats(_read(spark, sf_dir, "pages")).drop("longest_paragraph")
+    return M.rendered_html_stats(_read(spark, sf_dir, "pages"))
 
 
 SQL["rendered_html_stats"] = r"""WITH h AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>', ' ', 'g') AS h FROM pages)

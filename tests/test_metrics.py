@@ -83,3 +83,9 @@ def test_token_error_rate_of_many_distinct_tokens(spark):
     rows = [(1, " ".join(words), " ".join(moved)), (2, None, "a"), (3, "a b c", "b c d"), (4, "", "")]
     out = {r.id: r for r in M.token_error_rate(spark.createDataFrame(rows, "id int, expected string, actual string").coalesce(1)).collect()}
     assert [out[k].distance for k in (1, 2, 3, 4)] == [4, None, 2, 0] and out[1].rate == 4 / 6500 and out[4].rate == 0
+
+
+def test_rendered_html_stats_returns_the_longest_paragraph(spark, tmp_path):
+    pages = ["<p>ab</p><P class='x'>four <b>words</b>\n in all</P>", "<p><script>var long = 1;</script>x</p>", "no paragraph", None]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert {r.page_id: r.longest_paragraph for r in Q.rendered_html_stats(spark, str(tmp_path)).collect()} == {0: 17, 1: 1, 2: 0, 3: 0}

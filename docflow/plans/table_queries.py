@@ -90,7 +90,7 @@ SQL["numeric_columns"] = rf"""WITH {CELLS} SELECT table_id, column_index, coales
 
 
 def table_confidence(spark, sf_dir):
-    return TB.borderless_confidence(_cells(spark, sf_dir).where("table_id % 2 = 0 or row_index < 2"))
+    return TB.borderless_confidence(_cells(spark, sf_dir))
 
 
 SQL["table_confidence"] = rf"""WITH {CELLS}, picked AS (SELECT * FROM cells WHERE table_id % 2 = 0 OR row_index < 2),
@@ -400,7 +400,7 @@ SQL["ocr_normalize"] = f"WITH {BOXES} SELECT * FROM ocr"
 
 def ocr_reconcile(spark, sf_dir):
     pages, text, images = _page_parts(spark, sf_dir)
-    ocr = _ocr_lines(spark, sf_dir).where("doc_id % 4 != 0")
+    ocr = _ocr_lines(spark, sf_dir)
     return O.reconcile(O.route_pages(O.scan_signals(pages, text, images)), text, ocr)
 
 

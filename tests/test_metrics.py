@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docflow.functions import edit_distance as E
 from docflow.operators import metrics as M
@@ -89,3 +90,10 @@ def test_rendered_html_stats_returns_the_longest_paragraph(spark, tmp_path):
     pages = ["<p>ab</p><P class='x'>four <b>words</b>\n in all</P>", "<p><script>var long = 1;</script>x</p>", "no paragraph", None]
     spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert {r.page_id: r.longest_paragraph for r in Q.rendered_html_stats(spark, str(tmp_path)).collect()} == {0: 17, 1: 1, 2: 0, 3: 0}
+
+
+def test_table_confidence_and_ocr_reconcile_take_all_rows(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = {r.table_id: r.n for r in Q._cells(spark, sf).groupBy("table_id").agg(F.count_distinct("row_index").alias("n")).collect()}
+    assert {r.table_id: r.n_rows for r in Q.table_confidence(spark, sf).collect()} == rows
+    assert Q.ocr_reconcile(spark, sf).agg(F.sum("n_ocr")).first()[0] == Q._ocr_lines(spark, sf).count()

@@ -17,9 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .shared import small_batches
-from .textkernel import ENCODER_BYTES, SpanCache, batches, ragged, texts_of
+from .textkernel import BLOCK_BYTES, SpanCache, batches, pieces_of, ragged, texts_of
 
 _LETTER, _NUMBER, _BLANK, _OTHER = 0, 1, 2, 3
+#: Ids are hashed and decoded so many at a time.
+SLICE = 1 << 16
 
 
 @lru_cache(maxsize=1)
@@ -126,14 +128,13 @@ class ByteBPE:
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         #: (left << 20 | right) -> rank of every pair of tokens that is a token
         self.pairs = {ranks[t[:k]] << 20 | ranks[t[k:]]: r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
-        self.first = np.full((self.size, 0), -1)
         byte_pair = np.full(65536, -1, np.int64)
         for a in range(256):
             for b in range(256):
                 byte_pair[a << 8 | b] = ranks.get(bytes([a, b]), -1)
         self.byte_pair = byte_pair
-        self.token_length = np.fromiter(map(len, vocab), np.int64, self.size)
-        self.token_start = np.cumsum(self.token_length) - self.token_length
+        self.token_length = np.fromiter(map(len, vocab), np.int32, self.size)
+        self.token_start = np.cumsum(self.token_length, dtype=np.int64) - self.token_length
         self.token_bytes = np.frombuffer(b"".join(vocab), np.uint8)
         self.cache = SpanCache(self.merge)
 
@@ -204,17 +205,18 @@ class ByteBPE:
         return out[out >= 0], kept[ends] - kept[ends - lengths]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after the other, and where each text's begin (and the total at the end)."""
+        """Ids (int32) of all texts one after the other, and where each text's begin (and the total at the end). A very long text is
+        encoded in pieces."""
+        if len(texts) == 1 and len(texts[0]) > 2 * BLOCK_BYTES:
+            ids = np.concatenate([self._encode([p])[0] for p in pieces_of(texts[0])])
+            return ids, np.array([0, len(ids)])
+        return self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         data, begin, end, text_at, _ = pretoken_spans(texts)
         start, count = self.cache.rows(data, begin, end)
         return ragged(self.cache.flat, start, count), np.concatenate([[0], np.cumsum(count)])[text_at]
 
-    def counts(self, texts: list[str]) -> np.ndarray:
-        """Number of tokens of each text."""
-        data, begin, end, text_at, _ = pretoken_spans(texts)
-        total = np.concatenate([[0], np.cumsum(self.cache.rows(data, begin, end)[1])])[text_at]
-        return np.diff(total)
-
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of the ids one after the other."""
         return ragged(self.token_bytes, self.token_start[ids], self.token_length[ids])
@@ -243,19 +245,21 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
     def run(it):
         bpe = encoder(path)
         for batch in it:
-            for i, j in batches(batch.column(1), ENCODER_BYTES):
+            for i, j in batches(batch.column(1)):
                 part = batch.slice(i, j - i)
                 ids, at = bpe.encode(texts_of(part.column(1)))
-                size = np.concatenate([[0], np.cumsum(bpe.token_length[ids])])[at]
-                decoded, raw = bpe.decode(ids), ids.astype("<u4")
-                spans = list(zip(at[:-1].tolist(), at[1:].tolist()))
-                out = [
-                    part.column(0), pa.array(np.diff(at)),
-                    pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in spans], pa.string()),
-                    pa.array([hashlib.sha256(decoded[a:b]).hexdigest() for a, b in zip(size[:-1].tolist(), size[1:].tolist())], pa.string()),
-                ]
+                id_hash, text_hash = [], []
+                for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+                    x, y = hashlib.sha256(), hashlib.sha256()
+                    for k in range(a, b, SLICE):
+                        some = ids[k : min(k + SLICE, b)]
+                        x.update(some.astype("<u4").data)
+                        y.update(bpe.decode(some).data)
+                    id_hash.append(x.hexdigest())
+                    text_hash.append(y.hexdigest())
+                out = [part.column(0), pa.array(np.diff(at)), pa.array(id_hash, pa.string()), pa.array(text_hash, pa.string())]
                 if with_ids:
-                    out.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32))))
+                    out.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)))
                 yield pa.RecordBatch.from_arrays(out, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)

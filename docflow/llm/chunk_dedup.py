@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .shared import small_batches
-from .textkernel import SPACE, batches, span_hashes, texts_of
+from .textkernel import SPACE, WINDOW, batches, span_hashes, texts_of
 
 CHUNK_WORDS, MIN_CHUNK, MIN_BYTES = 4, 12, 80
 _LONG_WORD, _PAD = 64, 16
@@ -26,12 +26,17 @@ _LAST = 2**63 - 1
 
 
 def gear(data: np.ndarray) -> np.ndarray:
-    """Gear hash, uint32, of the 16 bytes up to each byte: the sum of the table's values, each shifted by its distance."""
-    h = _GEAR[data]
-    for s in (1, 2, 4, 8):
-        more = h[s:] + (h[:-s] << np.uint32(s))
-        h[s:] = more
-    return h
+    """Gear hash of the 16 bytes up to each byte: the sum of the table's values, each shifted by its distance. Its upper 16
+    bits, uint16, computed in windows."""
+    out = np.empty(len(data), np.uint16)
+    for at in range(0, len(data), WINDOW):
+        low = max(at - _PAD, 0)
+        h = _GEAR[data[low : at + WINDOW]]
+        for s in (1, 2, 4, 8):
+            more = h[s:] + (h[:-s] << np.uint32(s))
+            h[s:] = more
+        out[at : at + WINDOW] = h[at - low :] >> np.uint32(16)
+    return out
 
 
 def chunk_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -44,22 +49,21 @@ def chunk_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     blank = SPACE[data]
     real = np.ones(len(data), bool)  # of a text, not of the padding
     real[(owner_end[:, None] + np.arange(_PAD)).reshape(-1)] = False
-    h = gear(data) >> np.uint32(16)
+    h = gear(data)
     word_end = np.flatnonzero(~blank[:-1] & blank[1:] & real[:-1] & real[1:])
     cut = word_end[h[word_end] < 65536 // CHUNK_WORDS]
     # the next chunk starts at the next word
-    inside = np.flatnonzero(~blank & real)
-    nxt = np.searchsorted(inside, cut + 1)
-    cut, nxt = cut[nxt < len(inside)], nxt[nxt < len(inside)]
-    start = inside[nxt]
-    end = cut + 1
-    same = np.searchsorted(owner_end, start, "right") == np.searchsorted(owner_end, cut, "right")
-    start, end = start[same], end[same]
-    # words longer than _LONG_WORD (text without spaces) are cut at characters, too
     edge = np.zeros(len(data) + 2, np.int8)
     edge[1:-1] = ~blank & real
     turn = np.diff(edge)
     ws, we = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+    nxt = np.searchsorted(ws, cut + 1)
+    cut, nxt = cut[nxt < len(ws)], nxt[nxt < len(ws)]
+    start = ws[nxt]
+    end = cut + 1
+    same = np.searchsorted(owner_end, start, "right") == np.searchsorted(owner_end, cut, "right")
+    start, end = start[same], end[same]
+    # words longer than _LONG_WORD (text without spaces) are cut at characters, too
     big = np.flatnonzero(we - ws > _LONG_WORD)
     if len(big):
         at = np.concatenate([np.arange(ws[k] + 1, we[k]) for k in big.tolist()])
@@ -215,7 +219,11 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                                 last = b
                             kept.append(t[last:])
                             out[k] = b"".join(kept)
-                            spans[k] = [(len(t[:a].decode()), len(t[:b].decode())) for a, b in cuts]
+                            place, chars = np.array(cuts, np.int64).reshape(-1), np.zeros(1, np.int64)
+                            bits = np.frombuffer(t, np.uint8)
+                            heads = np.add.reduceat(np.concatenate([(bits & 0xC0) != 0x80, [False]]), np.concatenate([[0], place]), dtype=np.int64)
+                            heads[np.diff(np.concatenate([[0], place, [len(t) + 1]])) == 0] = 0
+                            spans[k] = list(zip(*np.cumsum(heads)[:-1].reshape(-1, 2).T.tolist()))
                             place = edges[hit] - begin[x]
                             gone = np.zeros(len(hit), bool)
                             for a, b in cuts:

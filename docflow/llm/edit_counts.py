@@ -15,23 +15,34 @@ from pyspark.sql import functions as F
 
 from .bpe import ByteBPE, encoder, pretoken_spans
 from .shared import small_batches
-from .textkernel import ENCODER_BYTES, batches, texts_of
+from .textkernel import batches, texts_of
 
+_NONE = np.zeros(0, np.int64)
 EDITS_TYPE = "array<struct<start:long,n_deleted:long,inserted:string>>"
 
 
 class CountTree:
-    """Pre-tokens of one text, with sums of their characters and tokens."""
+    """Pre-tokens of one text, with sums of their characters and tokens. A leaf is a pre-token of the text it was built from,
+    or the pre-tokens that edits have put there; when those get more than SPLIT the tree is built anew, with a leaf for each."""
 
-    def __init__(self, pieces: list[str], tokens: np.ndarray):
-        self.leaf = [[p] for p in pieces] or [[]]
-        n = self.size = 1 << (len(self.leaf) - 1).bit_length()
+    SPLIT = 32
+
+    def __init__(self, text: str, edges: np.ndarray, tokens: np.ndarray):
+        """edges: where the text's pre-tokens begin, and its length; tokens: of each pre-token."""
+        self.rebuilt = 0
+        self._build(text, edges, tokens)
+
+    def _build(self, text: str, edges: np.ndarray, tokens: np.ndarray) -> None:
+        self.base, self.edges, self.tokens = text, edges, tokens
+        self.put_in: dict[int, tuple[list[str], np.ndarray]] = {}
+        self.n_leaves = max(len(tokens), 1)
+        n = self.size = 1 << (self.n_leaves - 1).bit_length()
         self.tree = np.zeros((2 * n, 2), np.int64)  # characters, tokens
-        if pieces:
-            self.tree[n : n + len(pieces), 0] = np.fromiter(map(len, pieces), np.int64, len(pieces))
-            self.tree[n : n + len(pieces), 1] = tokens
+        if len(tokens):
+            self.tree[n : n + len(tokens), 0] = np.diff(edges)
+            self.tree[n : n + len(tokens), 1] = tokens
         while n > 1:
-            self.tree[n // 2 : n] = self.tree[n : 2 * n].reshape(-1, 2, 2).sum(axis=1)
+            self.tree[n // 2 : n] = self.tree[n : 2 * n : 2] + self.tree[n + 1 : 2 * n : 2]
             n //= 2
 
     @property
@@ -42,6 +53,12 @@ class CountTree:
     def n_tokens(self) -> int:
         return int(self.tree[1, 1])
 
+    def leaf(self, k: int) -> list[str]:
+        """The pre-tokens of leaf k."""
+        if k in self.put_in:
+            return self.put_in[k][0]
+        return [self.base[self.edges[k] : self.edges[k + 1]]] if len(self.tokens) else []
+
     def find(self, at: int) -> tuple[int, int]:
         """The leaf that holds character `at` (the last one with text, if there is none), and where the leaf begins."""
         node, begin = 1, 0
@@ -53,21 +70,36 @@ class CountTree:
             if at - begin >= left:
                 begin += left
                 node += 1
-        return min(node - self.size, len(self.leaf) - 1), begin
+        return min(node - self.size, self.n_leaves - 1), begin
 
-    def put(self, leaf: int, pieces: list[str], tokens: int) -> None:
-        self.leaf[leaf] = pieces
-        chars = sum(map(len, pieces))
+    def put(self, leaf: int, pieces: list[str], tokens: np.ndarray) -> None:
+        self.put_in[leaf] = (pieces, tokens)
         node = leaf + self.size
-        change = (chars - int(self.tree[node, 0]), tokens - int(self.tree[node, 1]))
+        change = (sum(map(len, pieces)) - int(self.tree[node, 0]), int(tokens.sum()) - int(self.tree[node, 1]))
         if change != (0, 0):
             while node:
                 self.tree[node, 0] += change[0]
                 self.tree[node, 1] += change[1]
                 node >>= 1
 
+    def split(self) -> None:
+        """Give each pre-token a leaf of its own again. It costs as much as the whole text, but no encoding."""
+        pieces, tokens, last = [], [], 0
+        for k in sorted(self.put_in):
+            pieces += [self.base[a:b] for a, b in zip(self.edges[last:k].tolist(), self.edges[last + 1 : k + 1].tolist())] + self.put_in[k][0]
+            tokens += [self.tokens[last:k], self.put_in[k][1]]
+            last = k + 1
+        pieces += [self.base[a:b] for a, b in zip(self.edges[last:-1].tolist(), self.edges[last + 1 :].tolist())]
+        tokens.append(self.tokens[last:])
+        self.rebuilt += 1
+        self._build("".join(pieces), np.concatenate([[0], np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))]), np.concatenate(tokens).astype(np.int64))
+
     def text(self) -> str:
-        return "".join(p for leaf in self.leaf for p in leaf)
+        out, last = [], 0
+        for k in sorted(self.put_in):
+            out += [self.base[self.edges[last] : self.edges[min(k, len(self.edges) - 1)]], *self.put_in[k][0]]
+            last = min(k + 1, len(self.edges) - 1)
+        return "".join(out) + self.base[self.edges[last] :]
 
 
 class _Edit:
@@ -81,8 +113,8 @@ class _Edit:
         before = 0
         while self.low and before < 3:
             self.low -= 1
-            begin -= sum(map(len, tree.leaf[self.low]))
-            before += len(tree.leaf[self.low])
+            begin -= int(tree.tree[tree.size + self.low, 0])
+            before += len(tree.leaf(self.low))
         self.high = tree.find(stop)[0] + 1
         self.reach, self.begin, self.start, self.stop, self.inserted = 4, begin, start, stop, inserted
 
@@ -90,23 +122,23 @@ class _Edit:
         """The stretch of the new text, from leaf low to leaf end."""
         leaf = self.tree.leaf
         pieces, end = 0, self.high
-        while end < len(leaf) and pieces < self.reach:
-            pieces += len(leaf[end])
+        while end < self.tree.n_leaves and pieces < self.reach:
+            pieces += len(leaf(end))
             end += 1
-        old = "".join(p for x in leaf[self.low : end] for p in x)
+        old = "".join(p for k in range(self.low, end) for p in leaf(k))
         self.end = end
         return old[: self.start - self.begin] + self.inserted + old[self.stop - self.begin :]
 
     def settle(self, text: str, starts: set[int]) -> bool:
         """Find the first old boundary behind the edit that holds; False: the stretch is too short to tell."""
-        leaf = self.tree.leaf
-        if self.end == len(leaf):
+        n = self.tree.n_leaves
+        if self.end == n:
             self.until, self.cut = self.end, len(text)
         at, beyond = len(text), 0
-        found = self.end == len(leaf)
+        found = self.end == n
         for k in range(self.end - 1, self.high - 1, -1):
-            at -= sum(map(len, leaf[k]))
-            beyond += len(leaf[k])
+            at -= int(self.tree.tree[self.tree.size + k, 0])
+            beyond += len(self.tree.leaf(k))
             if beyond >= 2 and at in starts and at >= self.start - self.begin + len(self.inserted):
                 self.until, self.cut, found = k, at, True
         self.reach *= 4
@@ -136,8 +168,10 @@ def apply_edits(bpe: ByteBPE, trees: list[CountTree], edits: list[list[tuple[int
                 pieces = [texts[x][edges[i] : edges[i + 1]] for i in range(m)]
                 tree = e.tree
                 for leaf in range(e.low + 1, e.until):
-                    tree.put(leaf, [], 0)
-                tree.put(e.low, pieces, int(count[a : a + m].sum()))
+                    tree.put(leaf, [], _NONE)
+                tree.put(e.low, pieces, count[a : a + m])
+                if m > tree.SPLIT:
+                    tree.split()
                 again[k] += m
             todo = rest
     return again
@@ -157,18 +191,17 @@ def count_with_edits(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
     def run(it):
         bpe = encoder(path)
         for batch in it:
-            for i, j in batches(batch.column(1), ENCODER_BYTES // 2):
+            for i, j in batches(batch.column(1)):
                 part = batch.slice(i, j - i)
                 texts = texts_of(part.column(1))
                 data, begin, end, at, char_at = pretoken_spans(texts)
                 count = bpe.cache.rows(data, begin, end)[1]
-                whole = "".join(texts)
-                edges = char_at.tolist() + [len(whole)]
+                base = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
                 edits = [[(e["start"] or 0, e["n_deleted"] or 0, e["inserted"] or "") for e in x or [] if e] for x in part.column(2).to_pylist()]
                 trees = []
                 for k in range(len(texts)):
                     a, b = int(at[k]), int(at[k + 1])
-                    trees.append(CountTree([whole[edges[x] : edges[x + 1]] for x in range(a, b)], count[a:b]))
+                    trees.append(CountTree(texts[k], np.append(char_at[a:b], base[k + 1]) - base[k], count[a:b]))
                 before = [t.n_tokens for t in trees]
                 again = apply_edits(bpe, trees, edits)
                 out = [[len(t) for t in texts], before, np.diff(at).tolist(), [len(e) for e in edits], [t.n_chars for t in trees], [t.n_tokens for t in trees], again.tolist()]

@@ -1,10 +1,12 @@
 """Mixing sources to target weights by Pareto order sampling (operator 4).
 
 A source's target is its share, by weight, of a budget of words, at most max_copies times its size; what is above goes
-to the others by weight. Expected copies of its documents: f = target / size. Each is taken floor(f) times for certain; for
-the rest, inclusion probability p = f - floor(f), documents are ranked by Q = odds(u) / odds(p), u a hash of the id, and taken
-in ascending order of Q as long as the words fit what is missing, then the longest that fits the gap; and so on with those
-that fit what is left, until none does.
+to the others by weight. f = target / size of a source; each of its documents is taken floor(f) times for certain. The rest,
+f - floor(f) = p on average over the source's words, is shared out with unequal inclusion probabilities that rise with length,
+so that fragments are taken less often than whole documents: p_i = p + p (1 - p) (g_i - G), g_i = size / (size + HALF) in
+thousandths, G its mean over the source's words. Then sum(p_i size_i) = p sum(size_i), and p_i is between p**2 and p (2 - p).
+Documents are ranked by Q = odds(u) / odds(p_i), u a hash of id and text, and taken in ascending order of Q as long as the words
+fit what is missing, then the longest that fits the gap; and so on with those that fit what is left, until none does.
 """
 
 from __future__ import annotations
@@ -17,11 +19,12 @@ from pyspark.sql import functions as F
 from .shared import saved
 
 WORDS = r"[^\x20\x09-\x0D]+"
-BINS = 4096
+BINS, HALF = 4096, 200
 
 
 def source_targets(sizes: DataFrame, *, ratio: float, max_copies: int, weights: tuple[int, ...]) -> DataFrame:
-    """source, source_size, target of every source. sizes: source, source_size. The windows run over one row a source."""
+    """source, source_size, target and g_words (kept as it is) of every source. sizes: source, source_size, g_words. The
+    windows run over one row a source."""
     order = Window.orderBy(F.col("source").isNull(), "source")
     numbered = sizes.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int")))
     everything = Window.partitionBy()
@@ -30,7 +33,7 @@ def source_targets(sizes: DataFrame, *, ratio: float, max_copies: int, weights:
     budget = ratio * F.sum("source_size").over(everything)
     # water-filling: were this source and all of lower size per weight at their limit, the level of the others
     level = (budget - F.coalesce(F.sum(F.col("source_size") * max_copies).over(before), F.lit(0))) / (F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0)))
-    return numbered.withColumn("level", level).withColumn("target", F.least((F.col("source_size") * max_copies).cast("double"), F.col("w") * F.max("level").over(everything))).select("source", "source_size", "target")
+    return numbered.withColumn("level", level).withColumn("target", F.least((F.col("source_size") * max_copies).cast("double"), F.col("w") * F.max("level").over(everything))).select("source", "source_size", "target", "g_words")
 
 
 def _one_round(left: DataFrame) -> DataFrame:
@@ -52,10 +55,11 @@ def _one_round(left: DataFrame) -> DataFrame:
 def mix_documents(
     docs: DataFrame, *, ratio: float = 1.5, max_copies: int = 2, weights: tuple[int, ...] = (5, 2, 1), seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
 ) -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, target, copies, taken.
+    """One row per row of docs: doc_id, source, size, source_size, target, copies, taken, expected (copies, before sampling).
 
     Sources in the order of their code points, null last, have the weights in turn. A null text has size 0 and isn't
-    taken; null ids share one random number, as do rows of one id, which count one by one. No row is taken more than
+    taken. The random number is a hash of id and text, so rows of one id or of none differ unless their texts are equal, too;
+    equal rows count one by one. The result doesn't depend on the order of rows. No row is taken more than
     max_copies times; a source's words come up to its target, short of it by less than any document not taken. Other
     columns are dropped, whatever their names. An empty table gives an empty table.
 
@@ -64,17 +68,21 @@ def mix_documents(
     a document is taken for its length none longer is left, so the next round ends with a gap below that length: the
     number of rounds grows with the logarithm of the gap; most tables need one or two.
     """
-    draw = (F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") + 0.5) / 2.0**52
-    rows = saved(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), draw.alias("u")), "mix_sizes")
-    sizes = saved(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), ratio=ratio, max_copies=max_copies, weights=weights), "mix_targets")
-    known = sizes.select(F.col("source").alias("s"), "source_size", "target", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_copies))).otherwise(0).alias("whole")).withColumn(
-        "p", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size") - F.col("whole")).otherwise(0.0)
-    )
+    text_md5 = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    draw = (F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.col("m"))), 1, 13), 16, 10).cast("double") + 0.5) / 2.0**52
+    rows = docs.select(F.col(id_col), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), text_md5.alias("m"))
+    rows = saved(rows.select(F.col(id_col).alias("doc_id"), "source", "size", draw.alias("u")), "mix_sizes")
+    g = F.floor(1000 * F.col("size") / (F.col("size") + HALF))  # thousandths: sums of them are exact
+    sizes = saved(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * g).alias("g_words")), ratio=ratio, max_copies=max_copies, weights=weights), "mix_targets")
+    known = sizes.select(
+        F.col("source").alias("s"), "source_size", "target", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_copies))).otherwise(0).alias("whole"), F.when(F.col("source_size") > 0, F.col("g_words") / F.col("source_size")).otherwise(0.0).alias("g_mean")
+    ).withColumn("p", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size") - F.col("whole")).otherwise(0.0))
+    ranked = rows.join(known, rows["source"].eqNullSafe(known["s"])).withColumn("p", F.col("p") + F.col("p") * (1 - F.col("p")) * ((g - F.col("g_mean")) / 1000))
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
-    ranked = rows.join(known, rows["source"].eqNullSafe(known["s"])).withColumn("q", F.when((F.col("p") > 0) & (F.col("p") < 1), odds).otherwise(F.col("u") / (1 - F.col("u"))))
+    ranked = ranked.withColumn("q", F.when((F.col("p") > 0) & (F.col("p") < 1), odds).otherwise(F.col("u") / (1 - F.col("u"))))
     ranked = ranked.withColumn("bin", F.floor(F.col("q") / (1 + F.col("q")) * BINS)).withColumn("missing", F.col("target") - F.col("whole") * F.col("source_size"))
-    in_bin = Window.partitionBy("source", "bin").orderBy("q", "doc_id")
-    ranked = saved(ranked.withColumn("n", F.row_number().over(in_bin)).select("doc_id", "source", "size", "source_size", "target", "whole", "missing", "bin", "n"), "mix_ranked")
+    in_bin = Window.partitionBy("source", "bin").orderBy("q", "doc_id", "size")
+    ranked = saved(ranked.withColumn("n", F.row_number().over(in_bin)).select("doc_id", "source", "size", "source_size", "target", "whole", "missing", "p", "bin", "n"), "mix_ranked")
     left = ranked.where((F.col("size") > 0) & (F.col("whole") < max_copies) & (F.col("size") <= F.col("missing"))).select("source", "bin", "n", "size", F.col("missing").alias("gap"))
     rounds = []
     while not rounds or not left.isEmpty():
@@ -84,7 +92,7 @@ def mix_documents(
     more = reduce(DataFrame.union, rounds)
     out = ranked.join(more, ranked["source"].eqNullSafe(more["s2"]) & (ranked["bin"] == more["b2"]) & (ranked["n"] == more["n2"]), "left")
     copies = F.when(F.col("size") > 0, F.col("whole") + F.coalesce("more", F.lit(0))).otherwise(0)
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), (F.col("whole") + F.when(F.col("whole") < max_copies, F.col("p")).otherwise(0.0)).alias("expected"))
 
 
 def apply_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:

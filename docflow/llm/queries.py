@@ -85,30 +85,43 @@ QUERIES = {
 _OP4_SQL = """
 WITH rows AS (
     SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-        (CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+        (CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
     FROM documents),
-sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM rows GROUP BY source),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(sum(size * (1000 * size // (size + 200))) AS BIGINT) AS g_words FROM rows GROUP BY source),
 weighed AS (SELECT *, [5, 2, 1][CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS INT)] AS w FROM sources),
 levels AS (
     SELECT *, (1.5::DOUBLE * CAST(sum(source_size) OVER () AS DOUBLE) - CAST(coalesce(sum(2 * source_size) OVER b, 0) AS DOUBLE))
         / CAST(sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS DOUBLE) AS level
     FROM weighed WINDOW b AS (ORDER BY source_size / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-targets AS (SELECT source, source_size, least(CAST(2 * source_size AS DOUBLE), w * max(level) OVER ()) AS target FROM levels),
+targets AS (SELECT source, source_size, g_words, least(CAST(2 * source_size AS DOUBLE), w * max(level) OVER ()) AS target FROM levels),
 shares AS (SELECT *, CASE WHEN source_size > 0 THEN least(CAST(floor(target / source_size) AS BIGINT), 2) ELSE 0 END AS whole FROM targets),
-odds AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size - whole ELSE 0 END AS p, target - whole * source_size AS missing FROM shares),
-ranked AS (
-    SELECT r.doc_id, r.source, r.size, o.source_size, o.target, o.whole, o.missing,
-        CASE WHEN p > 0 AND p < 1 THEN (u / (1 - u)) / (p / (1 - p)) ELSE u / (1 - u) END AS q
+odds AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size - whole ELSE 0 END AS p0, CASE WHEN source_size > 0 THEN g_words / source_size ELSE 0 END AS g_mean, target - whole * source_size AS missing FROM shares),
+tilted AS (
+    SELECT r.*, o.* EXCLUDE (source), p0 + p0 * (1 - p0) * (((1000 * size // (size + 200)) - g_mean) / 1000) AS p
     FROM rows r JOIN odds o ON r.source IS NOT DISTINCT FROM o.source),
-taken AS (
-    SELECT *, size > 0 AND sum(size) OVER (PARTITION BY source ORDER BY q, doc_id ROWS UNBOUNDED PRECEDING) <= missing AS more,
-        row_number() OVER (PARTITION BY source ORDER BY q, doc_id) AS n
-    FROM ranked),
-gaps AS (SELECT *, missing - coalesce(sum(size) FILTER (WHERE more) OVER (PARTITION BY source), 0) AS gap FROM taken),
-fits AS (SELECT source, n, row_number() OVER (PARTITION BY source ORDER BY size DESC, n) AS k FROM gaps WHERE NOT more AND size > 0 AND size <= gap AND whole < 2)
-SELECT g.doc_id, g.size, g.source_size, g.target, CAST(c * g.size AS BIGINT) AS taken, g.source, CAST(c AS INT) AS copies
-FROM (SELECT g.*, CASE WHEN size > 0 THEN whole + CASE WHEN more OR f.n IS NOT NULL THEN 1 ELSE 0 END ELSE 0 END AS c
-      FROM gaps g LEFT JOIN fits f ON f.k = 1 AND f.n = g.n AND f.source IS NOT DISTINCT FROM g.source) g
+ranked AS (
+    SELECT doc_id, source, size, source_size, target, whole, missing, CASE WHEN p > 0 AND p < 1 THEN (u / (1 - u)) / (p / (1 - p)) ELSE u / (1 - u) END AS q
+    FROM tilted),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY q, doc_id, size) AS n FROM ranked),
+left0 AS (SELECT source, n, size, missing AS gap FROM numbered WHERE size > 0 AND whole < 2 AND size <= missing),
+"""
+
+
+def _round_sql(k: int) -> str:
+    """A round of filling: what fits in order of rank, then the longest that fits the gap."""
+    return f"""r{k} AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY n ROWS UNBOUNDED PRECEDING) <= gap AS took FROM left{k}),
+g{k} AS (SELECT source, any_value(gap) - coalesce(sum(size) FILTER (WHERE took), 0) AS rest FROM r{k} GROUP BY source),
+f{k} AS (SELECT r.source, r.n, r.size FROM r{k} r JOIN g{k} g ON r.source IS NOT DISTINCT FROM g.source WHERE NOT took AND size <= rest QUALIFY row_number() OVER (PARTITION BY r.source ORDER BY size DESC, n) = 1),
+left{k + 1} AS (SELECT r.source, r.n, r.size, g.rest - coalesce(f.size, 0) AS gap FROM r{k} r JOIN g{k} g ON r.source IS NOT DISTINCT FROM g.source LEFT JOIN f{k} f ON r.source IS NOT DISTINCT FROM f.source
+    WHERE NOT r.took AND r.n IS DISTINCT FROM f.n AND r.size <= g.rest - coalesce(f.size, 0)),
+"""
+
+
+#: Rounds of filling in the SQL; the query goes on until nothing fits, which takes fewer on the given tables.
+ROUNDS = 8
+_OP4_SQL += "".join(map(_round_sql, range(ROUNDS))) + f"""more AS ({" UNION ALL ".join(f"SELECT source, n FROM r{k} WHERE took UNION ALL SELECT source, n FROM f{k}" for k in range(ROUNDS))})
+SELECT doc_id, size, source_size, target, CAST(c * size AS BIGINT) AS taken, source, CAST(c AS INT) AS copies
+FROM (SELECT d.*, CASE WHEN size > 0 THEN whole + CASE WHEN m.n IS NOT NULL THEN 1 ELSE 0 END ELSE 0 END AS c FROM numbered d LEFT JOIN more m ON m.n = d.n AND m.source IS NOT DISTINCT FROM d.source)
 """
 
 ORACLE_SQL: dict[str, str] = {"op4_mixing": _OP4_SQL}

@@ -6,19 +6,25 @@ documents only, at about BLOCK_BYTES, so that memory stays level; a longer docum
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Documents are processed in blocks of about this many bytes; where a block's new strings are encoded together, of more.
-BLOCK_BYTES, ENCODER_BYTES = 1 << 20, 4 << 20
+#: Documents are processed in blocks of about this many bytes.
+BLOCK_BYTES = 1 << 20
 
 _U = np.uint64
-_MULT = (0x9E3779B97F4A7C15 & ~7 | 5, 0xC2B2AE3D27D4EB4F & ~7 | 5)
-_tables = np.random.Generator(np.random.PCG64(71)).integers(1, 2**63, (2, 256), dtype=np.uint64) * _U(2) + _U(1)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_P = (1 << 31) - 1
+#: Spans are hashed in windows of so many bytes, which stay in the processor's cache.
+WINDOW = 1 << 16
+_seed = np.random.Generator(np.random.PCG64(71))
+#: 16-bit values of the bytes, all different.
+_tables = np.stack([_seed.permutation(np.arange(1, 1 << 16, dtype=np.uint64))[:256] for _ in range(4)]).reshape(2, 2, 256)
+_bases = _seed.integers(1 << 20, _P - 1, (2, 2)).tolist()
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -34,6 +40,23 @@ def batches(column: pa.Array | pa.ChunkedArray, limit: int = BLOCK_BYTES) -> Ite
         i = min(j, n)
 
 
+_SAFE = re.compile(r"[0-9A-Za-z] (?=[0-9A-Za-z])")
+
+
+def pieces_of(text: str, limit: int = BLOCK_BYTES) -> list[str]:
+    """A text in pieces of about limit characters, cut before single spaces between ASCII letters or digits: neither
+    tokeniser joins anything across such a place, and none looks back. Where there is no such place pieces are longer."""
+    out, at = [], 0
+    while len(text) - at > limit:
+        m = _SAFE.search(text, at + limit)
+        if not m:
+            break
+        out.append(text[at : m.start() + 1])
+        at = m.start() + 1
+    out.append(text[at:] if at else text)
+    return out
+
+
 def texts_of(column: pa.Array, null: str = "") -> list[str]:
     """The strings of a column; null counts as empty, and bytes that aren't UTF-8 as U+FFFD."""
     return [null if x is None else x.decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
@@ -68,41 +91,82 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _power(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _powers.get(which)
-    if have is None or len(have[0]) < n:
-        size = max(n + (n >> 3), BLOCK_BYTES + (BLOCK_BYTES >> 2))
-        p, inverse = _MULT[which], pow(_MULT[which], -1, 1 << 64)
-        have = []
-        for base in (p, inverse):
-            out = np.ones(size, np.uint64)
-            step, done = base, 1
-            while done < size:  # out[done:2*done] = out[:done] * base**done
-                k = min(done, size - done)
-                out[done : done + k] = out[:k] * _U(step)
-                step, done = step * step & (1 << 64) - 1, done + k
-            have.append(out)
-        if size <= 2 * ENCODER_BYTES:
-            _powers[which] = tuple(have)
-    return have[0], have[1]
+@lru_cache(maxsize=4)
+def _powers(which: int, half: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse, modulo _P, up to WINDOW."""
+    out = []
+    for base in (_bases[which][half], pow(_bases[which][half], -1, _P)):
+        x = np.ones(WINDOW + 1, np.uint64)
+        step, done = base, 1
+        while done <= WINDOW:  # x[done:2*done] = x[:done] * base**done
+            k = min(done, WINDOW + 1 - done)
+            x[done : done + k] = x[:k] * _U(step) % _U(_P)
+            step, done = step * step % _P, done + k
+        out.append(x)
+    return out[0], out[1]
+
+
+def _residues(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int, half: int) -> np.ndarray:
+    """Polynomial of every span, modulo _P; data has WINDOW bytes at most."""
+    up, down = _powers(which, half)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    term = _tables[which, half].take(data)
+    term *= up[: len(data)]
+    np.cumsum(term, out=sums[1:])  # terms of 47 bits, so the sums have 63
+    x = sums[ends]
+    x -= sums[starts]
+    x = (x & _U(_P)) + (x >> _U(31))
+    x *= down[starts]
+    for _ in range(2):
+        x = (x & _U(_P)) + (x >> _U(31))
+    x[x >= _U(_P)] -= _U(_P)
+    return x
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of every byte span, by prefix sums of a polynomial over Z/2^64; equal bytes have equal hashes."""
-    up, down = _power(which, len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_tables[which][data] * up[: len(data)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+    """A 64-bit hash of every byte span; equal bytes have equal hashes. starts and ends ascend.
+
+    Two polynomials modulo the prime 2**31 - 1, with random bases and random values of the bytes, by prefix sums: two different
+    spans of n bytes meet in both with a probability of (n / 2**31)**2 at most, whatever the text. A window takes the spans
+    that lie within WINDOW bytes; a longer span is hashed piece by piece, so memory doesn't depend on the text."""
+    out = np.empty(len(starts), np.uint64)
+    i, n = 0, len(starts)
+    while i < n:
+        base = int(starts[i])
+        j = int(np.searchsorted(ends, base + WINDOW, "right"))
+        if j > i:
+            part = data[base : int(ends[j - 1])]
+            s, e = starts[i:j] - base, ends[i:j] - base
+            out[i:j] = _residues(part, s, e, which, 0) << _U(31) | _residues(part, s, e, which, 1)
+            i = j
+            continue
+        whole = [0, 0]
+        zero = np.zeros(1, np.int64)
+        for k, at in enumerate(range(base, int(ends[i]), WINDOW)):
+            part = data[at : min(at + WINDOW, int(ends[i]))]
+            for half in (0, 1):
+                whole[half] = (whole[half] + int(_residues(part, zero, zero + len(part), which, half)[0]) * pow(_bases[which][half], k * WINDOW, _P)) % _P
+        out[i] = whole[0] << 31 | whole[1]
+        i += 1
+    return mix(out + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
 
 
 def ragged(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """flat[s : s + c] for each s, c, one after the other."""
-    total = int(counts.sum())
-    if not total:
-        return flat[:0]
-    shift = np.repeat(starts - (np.cumsum(counts) - counts), counts)
-    return flat[shift + np.arange(total)]
+    ends = np.cumsum(counts, dtype=np.int64)
+    total = int(ends[-1]) if len(ends) else 0
+    out, i = np.empty(total, flat.dtype), 0
+    while i < len(counts):  # some at a time, so that index arrays stay small
+        begin = int(ends[i - 1]) if i else 0
+        j = max(i + 1, int(np.searchsorted(ends, begin + WINDOW, "right")))
+        if j == i + 1:
+            out[begin : ends[i]] = flat[starts[i] : starts[i] + counts[i]]
+        else:
+            at = np.repeat(starts[i:j] - (ends[i:j] - counts[i:j] - begin), counts[i:j])
+            at += np.arange(len(at))
+            out[begin : ends[j - 1]] = flat[at]
+        i = j
+    return out
 
 
 def ngram_hashes(word: np.ndarray, doc: np.ndarray, n_docs: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,16 +197,18 @@ def ngram_hashes(word: np.ndarray, doc: np.ndarray, n_docs: int, n: int) -> tupl
 
 class SpanCache:
     """What an encoder returns for each distinct byte string seen, by hash, as ragged integer rows. It holds about `limit`
-    strings at most; beyond that, those stay that several blocks have had, so memory is bounded. Results don't depend on
-    it."""
+    strings at most; beyond that, those stay that several blocks have had, so memory is bounded. New strings are encoded SLICE
+    bytes at a time. Results don't depend on it."""
+
+    SLICE = 1 << 17
 
-    def __init__(self, encode, limit: int = 800_000):
+    def __init__(self, encode, limit: int = 400_000):
         self.encode, self.limit = encode, limit
         self.clear()
 
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.start = self.count = np.zeros(0, np.int64)
+        self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.flat = np.zeros(0, np.int32)
         self.blocks = np.zeros(0, np.int32)  # how many blocks had each string
 
@@ -152,7 +218,18 @@ class SpanCache:
             self.clear()
             return
         self.keys, start, self.count = self.keys[keep], self.start[keep], self.count[keep]
-        self.flat, self.start, self.blocks = ragged(self.flat, start, self.count), np.cumsum(self.count) - self.count, self.blocks[keep] // 2
+        self.flat, self.start, self.blocks = ragged(self.flat, start, self.count), np.cumsum(self.count, dtype=np.int64) - self.count, self.blocks[keep] // 2
+
+    def _encoded(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        flats, counts, total = [], [], np.concatenate([[0], np.cumsum(ends - starts)])
+        i = 0
+        while i < len(starts):
+            j = max(i + 1, int(np.searchsorted(total, total[i] + self.SLICE, "right")) - 1)
+            flat, count = self.encode([data[s:e].tobytes() for s, e in zip(starts[i:j].tolist(), ends[i:j].tolist())])
+            flats.append(np.asarray(flat, np.int32))
+            counts.append(np.asarray(count, np.int32))
+            i = j
+        return np.concatenate(flats), np.concatenate(counts)
 
     def rows(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start in self.flat and number of integers of each span."""
@@ -167,20 +244,18 @@ class SpanCache:
             at, known = self._find(keys)
         new = np.flatnonzero(~known)
         if len(new):
+            new = new[np.argsort(keys[new], kind="stable")]
             first = np.full(len(keys), -1, np.int64)
             first[code[::-1]] = np.arange(len(code))[::-1]
-            raw = data.tobytes()
-            flat, count = self.encode([raw[s:e] for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
-            start = len(self.flat) + np.cumsum(count) - count
-            self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
-            keys_all = np.concatenate([self.keys, keys[new]])
-            order = np.argsort(keys_all, kind="stable")
-            self.keys = keys_all[order]
-            self.start, self.count = np.concatenate([self.start, start])[order], np.concatenate([self.count, count])[order]
-            self.blocks = np.concatenate([self.blocks, np.zeros(len(new), np.int32)])[order]
+            flat, count = self._encoded(data, starts[first[new]], ends[first[new]])
+            start = len(self.flat) + np.cumsum(count, dtype=np.int64) - count
+            self.flat = np.concatenate([self.flat, flat])
+            place = np.searchsorted(self.keys, keys[new])
+            self.keys = np.insert(self.keys, place, keys[new])
+            self.start, self.count, self.blocks = np.insert(self.start, place, start), np.insert(self.count, place, count), np.insert(self.blocks, place, 0)
             at = np.searchsorted(self.keys, keys)
         self.blocks[at] += 1
-        return self.start[at][code], self.count[at][code]
+        return self.start[at][code], self.count[at][code].astype(np.int64)
 
     def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(self.keys, keys)

@@ -32,28 +32,26 @@ def counts(texts: list[bytes]) -> np.ndarray:
     import pandas as pd
 
     n = len(texts)
+    if not n:
+        return np.zeros((0, len(COUNTS)), np.int64)
     block = Block(texts)
     data = block.data
     starts, ends, doc = block.words()
     word = span_hashes(data, starts, ends)
     out: dict[str, np.ndarray] = {"n_words": np.bincount(doc, minlength=n)}
 
-    def per_text(mask: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(data) + 1, np.int64)
-        np.cumsum(mask, out=total[1:])
-        return total[block.ends] - total[block.starts]
+    def per_text(mask: np.ndarray) -> np.ndarray:  # with the newline that follows each text
+        return np.add.reduceat(mask, block.starts, dtype=np.int64)
 
     head = (data & 0xC0) != 0x80
     inside = ~SPACE[data]
-    out["word_chars"], out["n_chars"], out["n_bytes"] = per_text(head & inside), per_text(head), block.ends - block.starts
+    out["word_chars"], out["n_chars"], out["n_bytes"] = per_text(head & inside), per_text(head) - 1, block.ends - block.starts
     for name, table in (("n_symbols", _SYMBOL), ("n_upper", _UPPER), ("n_lower", _LOWER), ("n_digits", _DIGIT), ("n_bangs", _BANG), ("n_stops", _STOP), ("n_marks", _MARK)):
         out[name] = per_text(table[data])
 
     stop = np.flatnonzero(data == 10)  # each text is followed by one
     begin = np.concatenate([[0], stop[:-1] + 1])
-    total = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(inside, out=total[1:])
-    full = total[stop] > total[begin]
+    full = np.maximum.reduceat(inside, begin)
     begin, stop = begin[full], stop[full]
     line_doc = np.searchsorted(block.ends, begin)
     key = span_hashes(data, begin, stop) ^ mix(line_doc.astype(np.uint64))

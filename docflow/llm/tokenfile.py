@@ -9,6 +9,7 @@ readers split at stripes and a look-up by id skips what can't hold it.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from functools import lru_cache
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import small_batches
-from .textkernel import ENCODER_BYTES, SPACE, Block, SpanCache, batches, ragged, texts_of
+from .textkernel import BLOCK_BYTES, SPACE, Block, SpanCache, batches, pieces_of, ragged, texts_of
 
 END_ID, ROW_GROUP = 1, 1000
 
@@ -42,15 +43,32 @@ class WordEncoder:
         #: whether the tokeniser lower-cases texts itself: pieces that differ in that are one then
         self.lowers = [x.ids for x in self.tokenizer.encode_batch(["ABC Xyz", "abc xyz"], add_special_tokens=False)]
         self.lowers = self.lowers[0] == self.lowers[1]
+        self._check()
         self.cache = SpanCache(self._pieces)
 
+    def _check(self) -> None:
+        """Refuse a file whose tokeniser joins pieces that are cut here, or adds ids at the ends of a text."""
+        whole = ["It is, at 12 o'clock; done!  Now\twhat?\nNo. Yes: no", "a. b, c! d? e; f: g", "x  y\r\nz"]
+        for text in whole:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            parts = re.findall(r"[.,;:!?]+[^\sA-Za-z]*|(?:[^\s.,;:!?]|(?<![A-Za-z])[.,;:!?])+", text)
+            if ids != [x for p in parts for x in self.tokenizer.encode(p, add_special_tokens=False).ids]:
+                raise ValueError("this tokeniser joins text across white space or marks, so its texts can't be encoded in pieces")
+
     def _pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in pieces], add_special_tokens=False)]
         count = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter((x for y in ids for x in y), np.int64, int(count.sum())), count
 
     def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after the other, and where each text's begin (and the total at the end)."""
+        """Ids (int32) of all texts one after the other, and where each text's begin (and the total at the end). A very long
+        text is encoded in pieces."""
+        if len(texts) == 1 and len(texts[0]) > 2 * BLOCK_BYTES:
+            ids = np.concatenate([*(self._encode([p])[0] for p in pieces_of(texts[0])), np.array([] if end_id is None else [end_id], np.int32)])
+            return ids, np.array([0, len(ids)])
+        return self._encode(texts, end_id)
+
+    def _encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         block = Block([t.encode() for t in texts])
         if self.lowers and b"<|" not in block.data.tobytes():  # special tokens keep their case
             block.data = _LOWER[block.data]
@@ -78,7 +96,8 @@ def word_encoder(path: str) -> WordEncoder:
 def write_token_file(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> None:
     """Encode every whole text without special tokens, append end_id to each, and write the ids to path in ascending id
     order. Texts are shuffled once, by ranges of the id. Null texts count as empty (end_id alone); null ids come
-    first, rows of one id in the order of their texts. Other columns are dropped, whatever their names."""
+    first, rows of one id in the order of their texts; ranges part at (id, beginning of the text), so that many rows of one id or of
+    none are spread, too. Other columns are dropped, whatever their names."""
     spark = docs.sparkSession
     small_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -89,17 +108,17 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, *, id_col: str
 
         part_no, pos, enc = TaskContext.get().partitionId(), 0, word_encoder(tokenizer)
         for batch in it:
-            for i, j in batches(batch.column(1), ENCODER_BYTES):
+            for i, j in batches(batch.column(1)):
                 part = batch.slice(i, j - i)
                 ids, at = enc.encode(texts_of(part.column(1)), end_id)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.full(j - i, part_no, np.int32)), pa.array(pos + at[:-1]), pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))],
+                    [part.column(0), pa.array(np.full(j - i, part_no, np.int32)), pa.array(pos + at[:-1]), pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))],
                     names=["doc_id", "part", "pos", "n_tokens", "ids"],
                 )
                 pos += int(at[-1])
 
     (
-        rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "t")
+        rows.repartitionByRange(n, F.col("doc_id"), F.substring("t", 1, 32)).sortWithinPartitions("doc_id", "t")
         .mapInArrow(run, "doc_id long, part int, pos long, n_tokens long, ids array<int>")
         .write.mode("overwrite").option("compression", "zstd").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.row.index.stride", str(ROW_GROUP))
         .orc(path)

@@ -200,16 +200,35 @@ def test_mixing_fills_past_documents_that_do_not_fit(spark):
             assert gap > -1e-6 and all(r.size > gap for r in mine if r.copies < 1)
 
 
+SIZES = (50, 200, 800)
+
+
 def test_pareto_inclusion_is_near_its_probability(spark):
-    n, hits = 400, Counter()
-    docs = spark.createDataFrame([(k, "w " * (1 + k % 3), "a" if k % 2 else "b") for k in range(n)], "doc_id long, text string, source string")
-    f = {}
-    for seed in range(12):
+    """Documents of a source differ in their inclusion probability, and are taken as often as it says."""
+    n, hits, expected, runs = 3000, Counter(), {}, 4
+    docs = spark.createDataFrame([(k, "w " * SIZES[k % 3], "a" if k % 2 else "b") for k in range(n)], "doc_id long, text string, source string")
+    for seed in range(runs):
         for r in mixing.mix_documents(docs, ratio=1.0, weights=(3, 2), seed=f"t{seed}").collect():
-            hits[r.source] += r.copies
-            f[r.source] = r.target / r.source_size
+            hits[r.source, r.size] += r.copies
+            expected[r.source, r.size] = r.expected
+    for key, e in expected.items():
+        assert hits[key] / runs / (n / 6) == pytest.approx(e, abs=0.04), key
     for s in "ab":
-        assert hits[s] / 12 / (n / 2) == pytest.approx(f[s], abs=0.05)
+        assert expected[s, 50] + 0.02 < expected[s, 200] < expected[s, 800] - 0.02
+    for s in "ab":  # on average over the words, the share of the source's target
+        share = {r.source: r.target / r.source_size for r in mixing.mix_documents(docs, ratio=1.0, weights=(3, 2)).collect()}[s]
+        assert sum(expected[s, k] * k for k in SIZES) / sum(SIZES) == pytest.approx(share, abs=1e-9)
+
+
+def test_mixing_does_not_depend_on_the_order_of_rows(spark):
+    r = random.Random(9)
+    rows = [(None, "v " * r.randint(1, 60), "a") for _ in range(12)] + [(5, "x " * r.randint(1, 60), "a") for _ in range(12)] + [(k, "w " * r.randint(1, 90), "a") for k in range(30)]
+    seen = set()
+    for seed in range(4):
+        random.Random(seed).shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(1 + seed)
+        seen.add(str(sorted((str(x.doc_id), x.size, x.copies) for x in mixing.mix_documents(docs, ratio=0.6).collect())))
+    assert len(seen) == 1
 
 
 # 5
@@ -286,6 +305,32 @@ def test_ngram_join(spark, docs, rows, empty, monkeypatch):
     assert ngram_join.near_duplicates(empty).count() == 0 and ngram_join.drop_near_duplicates(empty).count() == 0
 
 
+def test_ngram_join_of_hot_groups(spark, monkeypatch):
+    """Texts around a long passage that all share, in tight groups and loose: no link is lost, and a row is shuffled a bounded number of
+    times, whatever the size of a bucket."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 40)
+    r, shared, sets = random.Random(4), text(90, 700).split(), []
+    texts = []
+    for k in range(420):
+        own = text((4, 4, 60, 140)[k % 4], 800 + k).split()
+        base = list(shared)
+        for _ in range((0, 3, 2, 0)[k % 4]):
+            base[r.randrange(90)] = f"v{r.randrange(5)}"
+        texts.append(" ".join(base + own))
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 3]) for i in range(len(w) - 2)})
+    want = [sum(len(a & b) / len(a | b) >= ngram_join.THRESHOLD for b in sets) - 1 for a in sets]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.n_links for x in ngram_join.near_duplicates(docs).collect()}
+    assert sum(want) > 20_000 and sum(got.values()) >= 0.99 * sum(want) and all(got[k] <= want[k] for k in got)
+    counts = []
+    for n in (500, 1000, 2000):
+        hot = spark.range(n).select(F.explode(F.sequence(F.lit(0), F.lit(9))).alias("band"), F.lit(1).cast("long").alias("h"), F.unhex(F.md5(F.col("id").cast("string"))).alias("key"))
+        counts.append(ngram_join._hot_edges(hot).count() / n)
+    assert max(counts) <= 1.01
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000 + i) for i in range(1, 400)]
@@ -328,8 +373,7 @@ def test_edit_trees_by_chance(oracle):
         trees = []
         for t in texts:
             data, begin, end, _, char_at = bpe.pretoken_spans([t])
-            edges = char_at.tolist() + [len(t)]
-            trees.append(edit_counts.CountTree([t[edges[i] : edges[i + 1]] for i in range(len(char_at))], b.cache.rows(data, begin, end)[1]))
+            trees.append(edit_counts.CountTree(t, np.append(char_at, len(t)), b.cache.rows(data, begin, end)[1]))
         edits = [[(r.randint(0, len(t) + 3), r.randint(0, 9), "".join(r.choice(letters) for _ in range(r.randint(0, 5)))) for _ in range(r.randint(0, 6))] for t in texts]
         edit_counts.apply_edits(b, trees, edits)
         for t, each, tree in zip(texts, edits, trees):

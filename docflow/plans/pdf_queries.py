@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import summaries as SU
+from ..operators import warnings as W
 from ..operators.pipeline import convert_documents
+from ..sources import sinks as SK
+from ..sources.pdf import samples
+from ..sources.pdf.document import Limits
 from ..sources.pdf.reader import parse_files, read_headers
 from ..sources.pdf.writer import write_pdfs
 
@@ -38,4 +45,228 @@ def pdf_convert(spark, sf_dir):
     return convert_documents(parsed).select("doc_id", "markdown", "mode", "source_type", F.size("blocks").alias("n_blocks"))
 
 
-QUERIES = {"pdf_roundtrip": pdf_roundtrip, "pdf_headers": pdf_headers, "pdf_convert": pdf_convert}
+# structures, filters, fonts, operators, geometry: files that show each feature, from rows
+
+
+def _files(spark, sf_dir, table: str, columns: list[str], build) -> DataFrame:
+    """path (the first column) and content of build(*values) for every row of a table."""
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
+
+    def run(it):
+        for batch in it:
+            data = [build(*row) for row in zip(*(c.to_pylist() for c in batch.columns))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(data, pa.binary())], names=["path", "content"])
+
+    return rows.mapInArrow(run, "path string, content binary")
+
+
+def _rows(parsed: DataFrame, name: str, key: str = "id") -> DataFrame:
+    """A relation's rows with the number in the path."""
+    return parsed.select(F.col("path").cast("long").alias(key), F.explode(name).alias("r")).select(key, "r.*")
+
+
+def _pick(names: str, k: str) -> str:
+    return f"[{', '.join(repr(x) for x in names)}][CAST({k} AS INT) + 1]"
+
+
+def pdf_structures(spark, sf_dir):
+    """Whole documents in files of eight structures: tables, streams and updates of cross references, repair, encryption, scan."""
+    kinds = samples.STRUCTURES
+    parsed = parse_files(_files(spark, sf_dir, "documents", ["doc_id", "text"], lambda i, t: samples.structured(kinds[i % len(kinds)], t or "")), tolerant=True)
+    lines = parsed.select(F.col("path").cast("long").alias("doc_id"), "parse_mode", F.array_join("warnings.code", ",").alias("codes"), F.explode("lines").alias("l"))
+    return lines.select("doc_id", "parse_mode", "codes", "l.line_no", "l.page_index", "l.text", F.round("l.y", 3).alias("y"))
+
+
+_MODES = ("classic-xref", "xref-stream", "classic-xref+hybrid-xref-stream", "classic-xref", "object-scan-repair", "classic-xref", "classic-xref", "stream-scan")
+_WHOLE = "s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents)"
+SQL["pdf_structures"] = f"""WITH {_WHOLE}
+SELECT doc_id, {_pick(_MODES, 'doc_id % 8')} AS parse_mode, CASE WHEN doc_id % 8 = 7 THEN 'pdf.parse_failed' ELSE '' END AS codes, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INT) AS line_no,
+    CASE WHEN doc_id % 8 < 7 THEN CAST(n // 46 AS INT) END AS page_index, text, 720.0::DOUBLE - 14 * (n % 46) AS y FROM s WHERE trim(text) <> ''"""
+
+
+def pdf_filters(spark, sf_dir):
+    """Whole documents in content streams under each filter, predictor and chain."""
+    kinds = samples.FILTERS
+    parsed = parse_files(_files(spark, sf_dir, "documents", ["doc_id", "text"], lambda i, t: samples.filtered(kinds[i % len(kinds)], t or "")))
+    lines = _rows(parsed, "lines", "doc_id").select("doc_id", "line_no", "page_index", "text")
+    return lines.join(parsed.select(F.col("path").cast("long").alias("doc_id"), F.size("warnings").alias("n_warnings")), "doc_id")
+
+
+SQL["pdf_filters"] = f"WITH {_WHOLE} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INT) AS line_no, CAST(n // 46 AS INT) AS page_index, text, 0 AS n_warnings FROM s WHERE trim(text) <> ''"
+
+
+def pdf_fonts(spark, sf_dir):
+    parsed = parse_files(_files(spark, sf_dir, "part", ["p_partkey"], samples.fonts))
+    return _rows(parsed, "lines", "part").select("part", "line_no", "text", "base_font", "font_trusted", "has_to_unicode", "confidence", F.round("width", 3).alias("width"))
+
+
+SQL["pdf_fonts"] = """WITH p AS (SELECT p_partkey AS part, CAST(p_partkey AS VARCHAR) AS t, len(CAST(p_partkey AS VARCHAR)) AS n FROM part)
+SELECT part, 0 AS line_no, 'win é€ ' || t AS text, 'Helvetica' AS base_font, TRUE AS font_trusted, FALSE AS has_to_unicode, 0.75::DOUBLE AS confidence, 5.0::DOUBLE * (n + 7) AS width FROM p
+UNION ALL SELECT part, 1, 'mac é ' || t, 'Mac', TRUE, FALSE, 0.75, 6.0 * (n + 6) FROM p UNION ALL SELECT part, 2, 'éßff ' || t, 'Diff', TRUE, FALSE, 0.75, 5.0 * (n + 4) FROM p
+UNION ALL SELECT part, 3, translate(t, '0123456789', 'ABCDEFGHIJ') || 'fiΩ', 'Mapped', TRUE, TRUE, 0.95, 5.0 * (n + 2) FROM p
+UNION ALL SELECT part, 4, t || '中', 'Wide', TRUE, TRUE, 0.95, 7.5 * n + 5 FROM p UNION ALL SELECT part, 5, '␁' || t, 'Bare', FALSE, FALSE, 0.6, 5.0 * (n + 1) FROM p"""
+
+
+def unicode_warnings(spark, sf_dir):
+    """Once per page and font that has no Unicode map and isn't trusted."""
+    parsed = parse_files(_files(spark, sf_dir, "part", ["p_partkey"], samples.fonts))
+    lines = _rows(parsed, "lines", "doc_id")
+    return W.all_warnings([W.unicode_warnings(lines.union(lines)), parsed.select(F.col("path").cast("long").alias("doc_id"), F.lit("ocr.disabled").alias("code"))])
+
+
+SQL["unicode_warnings"] = "SELECT p_partkey AS doc_id, o AS ord, CASE o WHEN 0 THEN 'ocr.disabled' ELSE 'text.unicode_mapping_suspect' END AS code, CASE WHEN o = 1 THEN 0 END AS page_index, CAST(NULL AS INT) AS line_no FROM part, (VALUES (0), (1)) v(o)"
+
+
+def pdf_text_operators(spark, sf_dir):
+    parsed = parse_files(_files(spark, sf_dir, "part", ["p_partkey"], samples.text_operators))
+    return _rows(parsed, "lines", "part").select("part", "line_no", "text", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.round("width", 3).alias("width"), "font_size", "hidden", "direction", "text_render_mode")
+
+
+SQL["pdf_text_operators"] = """WITH p AS (SELECT p_partkey AS part, CAST(p_partkey AS VARCHAR) AS t, 5.0::DOUBLE * len(CAST(p_partkey AS VARCHAR)) AS n FROM part),
+v(line_no, a, b, x, y, width, font_size, hidden, direction, text_render_mode) AS (VALUES (0, 'Two wordsjoined', FALSE, 72.0, 700.0, 74.2, 10.0, FALSE, 'ltr', 0), (1, 'next ', TRUE, 72.0, 686.0, 25.0, 10.0, FALSE, 'ltr', 0), (2, 'line', FALSE, 72.0, 672.0, 20.0, 10.0, FALSE, 'ltr', 0),
+    (3, 'quoted', FALSE, 72.0, 658.0, 42.0, 10.0, FALSE, 'ltr', 0), (4, 'a b', FALSE, 72.0, 600.0, 13.0, 10.0, FALSE, 'ltr', 0), (5, 'hidden ', TRUE, 72.0, 560.0, 35.0, 10.0, TRUE, 'ltr', 3), (6, 'raised', FALSE, 72.0, 524.0, 30.0, 10.0, FALSE, 'ltr', 0),
+    (7, 'scaled', FALSE, 110.0, 420.0, 60.0, 20.0, FALSE, 'ltr', 0), (8, 'upright', FALSE, 286.0, 400.0, 10.0, 10.0, FALSE, 'vertical', 0), (9, 'near by', FALSE, 72.0, 364.0, 40.0, 10.0, FALSE, 'ltr', 0), (10, 'far', FALSE, 302.0, 364.0, 15.0, 10.0, FALSE, 'ltr', 0))
+SELECT part, line_no, CASE WHEN b THEN a || t ELSE a END AS text, x::DOUBLE AS x, y::DOUBLE AS y, CASE WHEN b THEN width + n ELSE width END::DOUBLE AS width, font_size::DOUBLE AS font_size, hidden, direction, text_render_mode FROM p, v"""
+
+
+def pdf_page_geometry(spark, sf_dir):
+    """Pages turned by 0 to 270 degrees, cropped, of several units, and where a line at (100, 200) comes to lie."""
+    parsed = parse_files(_files(spark, sf_dir, "part", ["p_partkey"], samples.page_geometry))
+    pages = _rows(parsed, "pages", "part").select("part", "width_pt", "height_pt", "rotation", "user_unit", F.array_join("crop_box", " ").alias("crop_box"), F.array_join("media_box", " ").alias("media_box"))
+    return pages.join(_rows(parsed, "lines", "part").select("part", "text", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "font_size"), "part")
+
+
+SQL["pdf_page_geometry"] = """WITH p AS (SELECT p_partkey AS k, CAST(p_partkey % 4 * 90 AS DOUBLE) AS turn, CAST(1 + p_partkey % 3 AS DOUBLE) AS u, p_partkey % 2 = 1 AS crop, 6.0::DOUBLE * (3 + len(CAST(p_partkey AS VARCHAR))) AS n FROM part),
+b AS (SELECT *, CASE WHEN crop THEN 512.0 ELSE 612.0 END AS w, CASE WHEN crop THEN 600.0 ELSE 792.0 END AS h, CASE WHEN crop THEN 50.0 ELSE 100.0 END AS x0, CASE WHEN crop THEN 100.0 ELSE 200.0 END AS y0 FROM p)
+SELECT k AS part, (CASE WHEN turn IN (90, 270) THEN h ELSE w END * u)::DOUBLE AS width_pt, (CASE WHEN turn IN (90, 270) THEN w ELSE h END * u)::DOUBLE AS height_pt, turn AS rotation, u AS user_unit, CASE WHEN crop THEN '50.0 100.0 562.0 700.0' ELSE '0.0 0.0 612.0 792.0' END AS crop_box,
+    '0.0 0.0 612.0 792.0' AS media_box, 'At ' || k AS text, (u * CASE turn WHEN 0 THEN x0 WHEN 90 THEN y0 WHEN 180 THEN w - x0 - n ELSE h - y0 - 12 END)::DOUBLE AS x, (u * CASE turn WHEN 0 THEN y0 WHEN 90 THEN w - x0 - n WHEN 180 THEN h - y0 - 12 ELSE x0 END)::DOUBLE AS y, 12 * u AS font_size FROM b"""
+
+
+def pdf_rulings(spark, sf_dir):
+    """Stroked paths as rulings: pieces merged, slanted, short, filled and discarded paths left out, forms included."""
+    parsed = parse_files(_files(spark, sf_dir, "part", ["p_partkey"], samples.drawings))
+    return _rows(parsed, "rulings", "part").select("part", "orientation", "x1", F.round("y1", 3).alias("y1"), "x2", F.round("y2", 3).alias("y2"), "segment_count")
+
+
+_RULED = """p AS (SELECT p_partkey AS k, CAST(100 + p_partkey % 200 AS DOUBLE) AS w FROM part),
+ru AS (SELECT k, 'h' AS orientation, 72.0::DOUBLE AS x1, round((670.0::DOUBLE * 28 + 670.2::DOUBLE * (72 + w - 100.5)) / (28 + 72 + w - 100.5), 3) AS y1, 72 + w AS x2, round((670.0::DOUBLE * 28 + 670.2::DOUBLE * (72 + w - 100.5)) / (28 + 72 + w - 100.5), 3) AS y2, 2 AS segment_count FROM p
+    UNION ALL SELECT k, 'h', 72, y, 72 + w, y, 1 FROM p, (VALUES (610.0), (650.0)) v(y) UNION ALL SELECT k, 'v', x, 610, x, 650, 1 FROM (SELECT k, unnest([72.0, 72 + w]) AS x FROM p) UNION ALL SELECT k, 'v', 320, 100, 320, 180, 1 FROM p UNION ALL SELECT k, 'v', 450, 50, 450, 80, 2 FROM p)"""
+SQL["pdf_rulings"] = f"WITH {_RULED} SELECT k AS part, orientation, x1, y1, x2, y2, segment_count FROM ru"
+
+
+def ruling_summary(spark, sf_dir):
+    parsed = parse_files(_files(spark, sf_dir, "part", ["p_partkey"], samples.drawings))
+    return SU.ruling_summary(_rows(parsed, "rulings", "doc_id"))
+
+
+SQL["ruling_summary"] = f"WITH {_RULED} SELECT k AS doc_id, 0 AS page_index, count(*) FILTER (WHERE orientation = 'h') AS n_horizontal, count(*) FILTER (WHERE orientation = 'v') AS n_vertical, count(*) FILTER (WHERE segment_count > 1) AS n_merged FROM ru GROUP BY 1"
+
+
+def pdf_image_draws(spark, sf_dir):
+    parsed = parse_files(_files(spark, sf_dir, "part", ["p_partkey"], samples.drawings))
+    return _rows(parsed, "images", "part").drop("page_index")
+
+
+SQL["pdf_image_draws"] = """WITH p AS (SELECT p_partkey AS part, CAST(100 + p_partkey % 200 AS DOUBLE) AS w FROM part)
+SELECT part, 0 AS draw_no, 'X1' AS name, 72.0::DOUBLE AS x, 300.0::DOUBLE AS y, w AS width, 50.0::DOUBLE AS height, 50 * w AS area, 3 AS image_width, 2 AS image_height FROM p
+UNION ALL SELECT part, 1, 'X1', 370, 300, 30, 40, 1200, 3, 2 FROM p UNION ALL SELECT part, 2, 'inline', 500, 500, 20, 20, 400, 2, 1 FROM p"""
+
+# outlines, tags, forms, annotations, attachments
+
+
+def _interactive(spark, sf_dir) -> DataFrame:
+    return parse_files(_files(spark, sf_dir, "customer", ["c_custkey", "c_name"], samples.interactive), attachments=True)
+
+
+def pdf_outlines(spark, sf_dir):
+    return _rows(_interactive(spark, sf_dir), "outlines")
+
+
+SQL["pdf_outlines"] = "SELECT c_custkey AS id, n AS item_no, CASE n WHEN 0 THEN c_name || ' Ω' WHEN 1 THEN 'Below ' || c_custkey ELSE 'Last (' || c_custkey || ')' END AS title, CASE n WHEN 1 THEN 2 ELSE 1 END AS depth FROM customer, (VALUES (0), (1), (2)) v(n)"
+
+
+def pdf_tagged_lines(spark, sf_dir):
+    return _rows(_interactive(spark, sf_dir), "lines").select("id", "line_no", "text", "mcid", "structure_role", F.array_join("structure_path", "/").alias("structure_path"), "source")
+
+
+SQL["pdf_tagged_lines"] = """SELECT c_custkey AS id, n AS line_no, CASE WHEN n < 3 THEN 'Tagged ' || c_custkey || ' ' || n ELSE 'Untagged' END AS text, CASE WHEN n < 3 THEN n END AS mcid, CASE n WHEN 0 THEN 'H2' WHEN 3 THEN NULL ELSE 'P' END AS structure_role,
+    CASE n WHEN 0 THEN 'Document/H2' WHEN 3 THEN NULL ELSE 'Document/P' END AS structure_path, CASE WHEN n < 3 THEN 'tagged-pdf' ELSE 'pdf-text' END AS source FROM customer, (VALUES (0), (1), (2), (3)) v(n)"""
+
+
+def tagged_roles(spark, sf_dir):
+    """Lines by structure role, and the gate on tagged headings."""
+    lines = _rows(_interactive(spark, sf_dir), "lines", "doc_id")
+    roles = SU.role_summary(lines).select("doc_id", F.array_join(F.transform(F.map_entries("roles"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("roles"))
+    return roles.join(SU.tagged_gate(lines), "doc_id")
+
+
+SQL["tagged_roles"] = "SELECT c_custkey AS doc_id, 'H2=1,P=2' AS roles, 3::BIGINT AS n_marked, 0::BIGINT AS n_conflicts, TRUE AS passed FROM customer"
+
+
+def pdf_form_fields(spark, sf_dir):
+    parsed = _interactive(spark, sf_dir)
+    return _rows(parsed, "form_fields").join(parsed.select(F.col("path").cast("long").alias("id"), "has_xfa"), "id")
+
+
+SQL["pdf_form_fields"] = """WITH c AS (SELECT c_custkey AS k, c_custkey % 2 = 1 AS o, c_name FROM customer)
+SELECT k AS id, n AS field_no, ['person.name', 'person.sig', 'ok', 'pick', 'one'][n + 1] AS name, ['text', 'signature', 'button', 'choice', 'button'][n + 1] AS type, CASE n WHEN 0 THEN CAST(k AS VARCHAR) WHEN 3 THEN 'a, ' || k WHEN 4 THEN 'B' || k % 3 END AS value, CASE WHEN n IN (0, 2) THEN 0 END AS page_index,
+    n = 0 AND o AS read_only, n = 0 AS required, CASE n WHEN 2 THEN 'checkbox' WHEN 4 THEN 'radio' END AS button, CASE n WHEN 2 THEN CASE WHEN o THEN 'Yes' ELSE 'Off' END WHEN 4 THEN 'B' || k % 3 END AS state, CASE n WHEN 2 THEN o END AS checked,
+    CASE n WHEN 1 THEN c_name END AS signer, CASE n WHEN 1 THEN 'D:2024' END AS signed_at, CASE n WHEN 1 THEN 'not-validated' END AS signature_status, o AS has_xfa FROM c, (VALUES (0), (1), (2), (3), (4)) v(n)"""
+
+
+def form_summary(spark, sf_dir):
+    parsed = _interactive(spark, sf_dir)
+    return SU.form_summary(_rows(parsed, "form_fields", "doc_id")).join(SU.annotation_summary(_rows(parsed, "annotations", "doc_id")), "doc_id")
+
+
+SQL["form_summary"] = "SELECT c_custkey AS doc_id, 5::BIGINT AS n_fields, 3::BIGINT AS n_filled, c_custkey % 2 AS n_checked, 1::BIGINT AS n_signatures, 0 AS page_index, 1::BIGINT AS n_links, 1::BIGINT AS n_notes FROM customer"
+
+
+def pdf_annotations(spark, sf_dir):
+    return _rows(_interactive(spark, sf_dir), "annotations").withColumn("rect", F.array_join("rect", " "))
+
+
+SQL["pdf_annotations"] = """SELECT c_custkey AS id, n AS annotation_no, 0 AS page_index, CASE n WHEN 0 THEN 'Link' ELSE 'Text' END AS subtype, CASE n WHEN 1 THEN 'note ' || c_name END AS contents, CASE n WHEN 0 THEN 'https://example.org/' || c_custkey END AS uri,
+    CASE n WHEN 0 THEN '1.0 2.0 3.0 ' || (c_custkey % 50 + 3) || '.0' ELSE '5.0 5.0 9.0 9.0' END AS rect FROM customer, (VALUES (0), (1)) v(n)"""
+
+
+def pdf_attachments(spark, sf_dir):
+    """Attached files and what they are called beside the Markdown."""
+    files = _rows(_interactive(spark, sf_dir), "attachments", "doc_id")
+    names = SK.attachment_assets(files.union(files.withColumn("attachment_no", F.col("attachment_no") + 2)))
+    return names.select("doc_id", "asset_id", "path", "media_type", F.unbase64("content").cast("string").alias("content"))
+
+
+SQL["pdf_attachments"] = """WITH c AS (SELECT c_custkey AS k, c_name, n, CASE n % 2 WHEN 0 THEN 'n.txt' ELSE 'N' || c_custkey || '.TXT' END AS f FROM customer, (VALUES (0), (1), (2), (3)) v(n))
+SELECT k AS doc_id, 'attachment-' || (n + 1) || '-' || lower(replace(f, '.', '-')) AS asset_id, 'assets/attachments/' || CASE WHEN n < 2 THEN f ELSE replace(replace(f, '.txt', '-' || (n + 1) || '.txt'), '.TXT', '-' || (n + 1) || '.TXT') END AS path,
+    CASE n % 2 WHEN 0 THEN 'text/plain' END AS media_type, CASE n % 2 WHEN 0 THEN 'hello ' || k ELSE c_name END AS content FROM c"""
+
+
+def pdf_faults(spark, sf_dir):
+    """What keeps a file from being read becomes a warning, never an error of the job."""
+    kinds = samples.FAULTS
+    parsed = parse_files(_files(spark, sf_dir, "part", ["p_partkey"], lambda k: samples.faulty(kinds[k % len(kinds)], k)), limits=Limits(max_pages=5, max_bytes=50_000, max_stream_bytes=200_000))
+    return parsed.select(F.col("path").cast("long").alias("part"), F.array_join("warnings.code", ",").alias("codes"), F.array_join("lines.text", "|").alias("texts"), F.size("pages").alias("n_pages"))
+
+
+_CODE = ("", "pdf.invalid_header", "pdf.invalid_header", "security.input_too_large", "security.page_count_exceeded", "security.password_required", "security.unsupported_encryption", "pdf.parse_failed", "pdf.parse_failed", "pdf.parse_failed")
+SQL["pdf_faults"] = f"SELECT p_partkey AS part, {_pick(_CODE, 'p_partkey % 10')} AS codes, CASE WHEN p_partkey % 10 IN (0, 9) THEN 'Fine ' || p_partkey ELSE '' END AS texts, CASE WHEN p_partkey % 10 IN (0, 8, 9) THEN 1 ELSE 0 END AS n_pages FROM part"
+
+
+def pdf_passwords(spark, sf_dir):
+    """Locked files with their passwords given by name, a wrong one, and none."""
+    rows = _files(spark, sf_dir, "supplier", ["s_suppkey"], lambda k: samples.faulty("locked", k))
+    keys = rows.select("path", F.when(F.col("path").cast("long") % 3 == 0, "open").when(F.col("path").cast("long") % 3 == 1, "wrong").alias("password"))
+    parsed = parse_files(rows.join(keys, "path"), password_col="password")
+    return parsed.select(F.col("path").cast("long").alias("supplier"), F.array_join("warnings.code", ",").alias("codes"), F.array_join("lines.text", "|").alias("texts"))
+
+
+SQL["pdf_passwords"] = "SELECT s_suppkey AS supplier, CASE s_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'security.password_incorrect' ELSE 'security.password_required' END AS codes, CASE s_suppkey % 3 WHEN 0 THEN 'Fine ' || s_suppkey ELSE '' END AS texts FROM supplier"
+
+QUERIES = {
+    name: globals()[name]
+    for name in (
+        "pdf_roundtrip", "pdf_headers", "pdf_convert", "pdf_structures", "pdf_filters", "pdf_fonts", "unicode_warnings", "pdf_text_operators", "pdf_page_geometry", "pdf_rulings", "ruling_summary", "pdf_image_draws", "pdf_outlines",
+        "pdf_tagged_lines", "tagged_roles", "pdf_form_fields", "form_summary", "pdf_annotations", "pdf_attachments", "pdf_faults", "pdf_passwords",
+    )
+}

@@ -39,6 +39,9 @@ SCHEMA = S.StructType(
     + [S.StructField(n, S.ArrayType(t)) for n, t in RELATIONS.items()]
 )
 
+#: Files are returned together up to so many bytes and files.
+_BATCH_BYTES, _BATCH_FILES = 4 << 20, 64
+
 _CODES = {"pdf.encryption.password_required": "security.password_required", "pdf.encryption.password_incorrect": "security.password_incorrect", "pdf.encryption.unsupported": "security.unsupported_encryption"}
 
 
@@ -51,7 +54,7 @@ def _warning(e: Exception, page: int | None = None) -> dict:
 _BROKEN = (PdfError, ValueError, KeyError, IndexError, TypeError, AttributeError, RecursionError, OverflowError, UnicodeError)
 
 
-def parse_file(data: bytes, *, password: str | None = None, tolerant: bool = False, limits: Limits | None = None, attachments: bool = False) -> dict:
+def parse_file(data: bytes, *, password: str | None = None, tolerant: bool = False, limits: Limits | None = None, attachments: bool = False, only: tuple[str, ...] | None = None) -> dict:
     """The relations of one file. What can't be read becomes a warning, never an exception: a page that fails keeps what was
     read of the others, and a file without readable structure is scanned for content streams."""
     limits = limits or Limits()
@@ -68,6 +71,8 @@ def parse_file(data: bytes, *, password: str | None = None, tolerant: bool = Fal
         return out
     out["pdf_version"], out["parse_mode"] = doc.version, doc.mode
     for name, read in (("outlines", doc.outlines), ("form_fields", doc.form_fields), ("annotations", doc.annotations), ("attachments", doc.attachments)):
+        if only is not None and name not in only:
+            continue
         try:
             out[name] = read()
         except _BROKEN as e:
@@ -75,7 +80,7 @@ def parse_file(data: bytes, *, password: str | None = None, tolerant: bool = Fal
     if not attachments:
         out["attachments"] = [a | {"content": None} for a in out["attachments"]]
     try:
-        out["has_xfa"], marks = doc.has_xfa(), doc.structure()
+        out["has_xfa"], marks = doc.has_xfa(), doc.structure() if only is None or "lines" in only else {}
     except _BROKEN as e:
         marks = {}
         out["warnings"].append(_warning(e))
@@ -104,21 +109,33 @@ def files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
-def parse_files(binary: DataFrame, *, passwords: dict[str, str] | None = None, tolerant: bool = False, limits: Limits | None = None, attachments: bool = False) -> DataFrame:
-    """One row a file (path, content): doc_id (SHA-256 of the content) and its relations as arrays. passwords: by the file's
-    name; for few files, as the dictionary goes to every task. A null content counts as empty."""
+def parse_files(
+    binary: DataFrame, *, passwords: dict[str, str] | None = None, password: str | None = None, password_col: str | None = None, tolerant: bool = False, limits: Limits | None = None, attachments: bool = False, only: tuple[str, ...] | None = None
+) -> DataFrame:
+    """One row a file (path, content): doc_id (SHA-256 of the content) and its relations as arrays. A null content counts as empty.
+
+    Passwords: one for all files (password), by the file's name (passwords, for few files, as the dictionary goes to every task), or
+    in a column of binary (password_col; null: none), which scales with the files. only: the relations that are wanted; the others are
+    empty, and what only they need isn't read."""
     passwords = passwords or {}
     arrow = to_arrow_schema(SCHEMA)
 
     def run(it):
         for batch in it:
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+            keys = batch.column(2).to_pylist()
+            rows, size = [], 0
+            for k, (path, data) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
                 raw = data.as_py() or b""
-                row = parse_file(raw, password=passwords.get((path or "").rpartition("/")[2]), tolerant=tolerant, limits=limits, attachments=attachments)
-                row |= {"doc_id": hashlib.sha256(raw).hexdigest(), "path": path}
-                yield pa.RecordBatch.from_pylist([{f.name: row.get(f.name) for f in arrow}], schema=arrow)
-
-    return binary.select("path", "content").mapInArrow(run, SCHEMA)
+                row = parse_file(raw, password=keys[k] or passwords.get((path or "").rpartition("/")[2], password), tolerant=tolerant, limits=limits, attachments=attachments, only=only)
+                rows.append(row | {"doc_id": hashlib.sha256(raw).hexdigest(), "path": path})
+                size += len(raw)
+                if size > _BATCH_BYTES or len(rows) == _BATCH_FILES:
+                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    return binary.select("path", "content", (F.col(password_col) if password_col else F.lit(None)).cast("string").alias("password")).mapInArrow(run, SCHEMA)
 
 
 def relation(parsed: DataFrame, name: str) -> DataFrame:

@@ -8,18 +8,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
-def _literal(text: str) -> bytes:
+def literal(text: str) -> bytes:
+    """A string of the content in WinAnsi."""
     raw = text.encode("cp1252", "replace")
     return b"(" + raw.replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)").replace(b"\r", b"\\r").replace(b"\n", b"\\n") + b")"
 
 
-def text_pdf(pages: list[list[tuple[float, float, float, str]]], *, drawings: dict[int, bytes] | None = None, compress: bool = True, size: tuple[float, float] = (612, 792), extra: dict[int, bytes] | None = None, page_extra: bytes = b"") -> bytes:
-    """A file of pages of (x, y, font size, text) in Helvetica. drawings: more content by page; extra: more objects by number
+def text_objects(pages: list[list[tuple[float, float, float, str]]], *, drawings: dict[int, bytes] | None = None, compress: bool = True, size: tuple[float, float] = (612, 792), extra: dict[int, bytes] | None = None, page_extra: bytes = b"") -> dict[int, bytes]:
+    """The objects of a file of pages of (x, y, font size, text) in Helvetica. drawings: more content by page; extra: more objects by number
     (from 100 on); page_extra: more entries of each page's dictionary."""
     objects: dict[int, bytes] = {3: b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>"}
     kids = []
     for n, lines in enumerate(pages):
-        body = b"".join(b"BT /F1 %g Tf %g %g Td " % (s, x, y) + _literal(t) + b" Tj ET\n" for x, y, s, t in lines) + (drawings or {}).get(n, b"")
+        body = b"".join(b"BT /F1 %g Tf %g %g Td " % (s, x, y) + literal(t) + b" Tj ET\n" for x, y, s, t in lines) + (drawings or {}).get(n, b"")
         raw = zlib.compress(body) if compress else body
         page, content = 10_000 + 2 * n, 10_001 + 2 * n
         objects[content] = b"<< /Length %d%s >>\nstream\n" % (len(raw), b" /Filter /FlateDecode" if compress else b"") + raw + b"\nendstream"
@@ -27,8 +28,12 @@ def text_pdf(pages: list[list[tuple[float, float, float, str]]], *, drawings: di
         kids.append(b"%d 0 R" % page)
     objects[2] = b"<< /Type /Pages /Kids [" + b" ".join(kids) + b"] /Count %d >>" % len(kids)
     objects[1] = b"<< /Type /Catalog /Pages 2 0 R >>"
-    objects |= extra or {}
-    return assemble(objects)
+    return objects | (extra or {})
+
+
+def text_pdf(pages: list[list[tuple[float, float, float, str]]], **options) -> bytes:
+    """The file of text_objects."""
+    return assemble(text_objects(pages, **options))
 
 
 def assemble(objects: dict[int, bytes], trailer: bytes = b"") -> bytes:

@@ -25,8 +25,7 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = SparkSession.builder.appName("docflow").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     binary = files(spark, a.input)
-    names = {r.path.rpartition("/")[2]: a.password for r in binary.select("path").collect()} if a.password else None
-    parsed = parse_files(binary, passwords=names, tolerant=a.tolerant)
+    parsed = parse_files(binary, password=a.password, tolerant=a.tolerant)
     boxes = ocr_json.read_ocr_results(spark, a.ocr_results) if a.ocr_results else None
     out = convert_documents(parsed, boxes, page_anchors=a.page_anchors)
     if a.output and not a.json:

@@ -311,17 +311,21 @@ def convert(lines: list[dict], rulings: list[dict] = (), images: list[dict] = ()
         by_page: dict = {}
         for r in rulings:
             by_page.setdefault(r["page_index"], []).append(r)
+        on_page: dict = {}
+        for x in lines:
+            if x["page_index"] in by_page and _placed(x) and x["text"].strip():
+                on_page.setdefault(x["page_index"], []).append(x)
+        place = {x["line_no"]: i for i, x in enumerate(ordered)}
         for page, rows in sorted(by_page.items()):
             for g in ruled.grids(rows):
-                cells = ruled.fill(g, [x for x in lines if x["page_index"] == page and _placed(x) and x["text"].strip()])
+                cells = ruled.fill(g, on_page.get(page, []))
                 mine = [l["line_no"] for row in cells for c in row for l in c["lines"]]
                 spans = any(c["row_span"] > 1 or c["column_span"] > 1 for row in cells for c in row)
                 table = {"page_index": page, "kind": "ruled", "cells": cells, "confidence": 0.9 if spans else 0.95, "complete": g["complete"]}
                 tables.append(table)
-                present = {x["line_no"] for x in ordered}
-                if not mine or not set(mine) <= present:
+                if not mine or not all(n in place for n in mine):
                     continue
-                first = next(i for i, x in enumerate(ordered) if x["line_no"] in set(mine))
+                first = min(place[n] for n in mine)
                 if first not in at_line or len(mine) > len(at_line[first][1]):
                     body = html(cells) if options.get("html_fallback", True) and (spans or len(cells) == 1) else gfm(visual_rows(cells))
                     at_line[first] = (body, mine)
@@ -340,7 +344,7 @@ def convert(lines: list[dict], rulings: list[dict] = (), images: list[dict] = ()
             add("page_anchor", f'<a id="page-{x["page_index"] + 1}"></a>', [])
         if i in at_line:
             body, mine = at_line[i]
-            add("table", body, [y for y in ordered if y["line_no"] in set(mine)])
+            add("table", body, [ordered[k] for k in sorted(place[n] for n in mine)])
             i += 1
             continue
         if x["line_no"] in used:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as T
+from ..shared import saved
 from ..sources.pdf.reader import RELATIONS, relation
 from . import ocr as O
 from . import warnings as W
@@ -27,7 +28,8 @@ def ocr_lines(parsed: DataFrame, boxes: DataFrame) -> DataFrame:
     """OCR boxes as lines of the line relation, numbered after the file's own."""
     pages = relation(parsed, "pages").select("doc_id", "page_index", "width_pt", "height_pt")
     n = O.normalize_boxes(boxes, pages)
-    given = {"line_no": (F.lit(1_000_000) + F.col("page_index") * 10_000 + F.col("box_no")).cast("int"), "font_size": F.col("height"), "font_trusted": F.lit(True), "has_to_unicode": F.lit(False), "source": F.lit("ocr"), "direction": T.direction("text"), "hidden": F.lit(False)}
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_index", "box_no"))
+    given = {"line_no": (F.lit(1_000_000) + number).cast("int"), "font_size": F.col("height"), "font_trusted": F.lit(True), "has_to_unicode": F.lit(False), "source": F.lit("ocr"), "direction": T.direction("text"), "hidden": F.lit(False)}
     cols = [given[f.name].cast(f.dataType).alias(f.name) if f.name in given else F.col(f.name).cast(f.dataType).alias(f.name) if f.name in n.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in _LINE]
     return n.select("doc_id", *cols)
 
@@ -58,47 +60,88 @@ def select_lines(parsed: DataFrame, boxes: DataFrame | None = None) -> tuple[Dat
     return pdf.unionByName(plain).unionByName(extra.select("doc_id", *_LINE.names)), routed
 
 
-def convert_documents(parsed: DataFrame, boxes: DataFrame | None = None, **options) -> DataFrame:
-    """One row a file: RESULT, and source_type, mode and confidence. Routing and the choice of lines are joins; the blocks of
-    a document are read by one Python function from that document's lines. Files of equal content are one document. The parsed
-    files are kept (they can be computed again if an executor is lost), as several joins start from them."""
-    parsed = parsed.dropDuplicates(["doc_id"]).persist()
+_FACTS = "n_pdf_lines long, n_ocr_lines long, ocr_confidence double, n_layout_pages long, table_confidence double"
+
+
+def convert_documents(parsed: DataFrame, boxes: DataFrame | None = None, *, parsed_to: str | None = None, **options) -> DataFrame:
+    """One row for each distinct file content: RESULT, and source_type, mode and confidence; by_path gives one for each file.
+
+    The parsed files are written to parsed_to (by default a new table in the shared folder), so that each file is parsed once; it
+    may be removed when the result has been read. Pages are routed by joins, with OCR boxes the lines are chosen by joins,
+    too; the blocks of a document are read from its lines by one Python function, once."""
+    parsed = saved(parsed.dropDuplicates(["doc_id"]), "parsed_files", parsed_to)
     lines, routed = select_lines(parsed, boxes)
-    per_doc = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*_LINE.names))).alias("lines"))
-    rest = parsed.select("doc_id", "rulings", "images", "outlines", F.col("warnings").alias("parse_warnings"))
-    result = S.StructType.fromDDL(RESULT)
+    rest = parsed.select("doc_id", "lines", "rulings", "images", "outlines", F.col("warnings").alias("parse_warnings"))
+    if boxes is not None:
+        per_doc = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*_LINE.names))).alias("lines"))
+        rest = rest.drop("lines").join(per_doc, "doc_id", "left").select(*rest.columns)
+    result = S.StructType.fromDDL(RESULT + ", " + _FACTS)
     arrow = to_arrow_schema(result)
 
+    def read(row: dict) -> dict:
+        lines = row["lines"] or []
+        c = convert(lines, row["rulings"] or [], row["images"] or [], row["outlines"] or [], **options)
+        ws = [{"code": w["code"], "page_index": w["page_index"], "line_no": None} for w in row["parse_warnings"] or []]
+        fonts = {(x["page_index"], x["font_name"]) for x in lines if x["source"] != "ocr" and not x["has_to_unicode"] and not x["font_trusted"]}
+        ws += [{"code": "text.unicode_mapping_suspect", "page_index": p, "line_no": None} for p, _ in sorted(fonts, key=str)] + c["warnings"]
+        ws.append({"code": "text.heuristic_content_stream" if lines else "conversion.not_implemented", "page_index": None, "line_no": None})
+        ws.sort(key=lambda w: W.ORDER.get(w["code"], len(W.ORDER)))
+        ocr = [x for x in lines if x["source"] == "ocr"]
+        scores = [x["confidence"] for x in ocr if x["confidence"] is not None]
+        return {
+            "doc_id": row["doc_id"], "markdown": c["markdown"], "blocks": [{k: b.get(k) for k in ("block_no", "kind", "text", "page_index", "md_start", "md_end")} for b in c["blocks"]],
+            "regions": [{"md_start": m["md_start"], "md_end": m["md_end"], "kind": m["kind"], **r} for m in c["source_map"] for r in m["regions"]],
+            "tables": [{"page_index": t["page_index"], "kind": t["kind"], "confidence": t["confidence"], "rows": len(t["cells"]), "columns": len(t["cells"][0])} for t in c["tables"]],
+            "figures": [{k: f[k] for k in ("page_index", "figure_no", "number", "kind", "x", "y", "width", "height")} for f in c["figures"]], "assets": c["csv"], "warnings": ws,
+            "n_pdf_lines": len(lines) - len(ocr), "n_ocr_lines": len(ocr), "ocr_confidence": sum(scores) / len(scores) if scores else None, "n_layout_pages": len({x["page_index"] for x in lines if x["page_index"] is not None}),
+            "table_confidence": sum(t["confidence"] for t in c["tables"]) / len(c["tables"]) if c["tables"] else None,
+        }
+
     def run(it):
         for batch in it:
-            for row in batch.to_pylist():
-                c = convert(row["lines"] or [], row["rulings"] or [], row["images"] or [], row["outlines"] or [], **options)
-                ws = [{"code": w["code"], "page_index": w["page_index"], "line_no": None} for w in row["parse_warnings"] or []]
-                fonts = {(x["page_index"], x["font_name"]) for x in row["lines"] or [] if x["source"] != "ocr" and not x["has_to_unicode"] and not x["font_trusted"]}
-                ws += [{"code": "text.unicode_mapping_suspect", "page_index": p, "line_no": None} for p, _ in sorted(fonts, key=str)] + c["warnings"]
-                ws.append({"code": "text.heuristic_content_stream" if row["lines"] else "conversion.not_implemented", "page_index": None, "line_no": None})
-                ws.sort(key=lambda w: W.ORDER.get(w["code"], len(W.ORDER)))
-                out = {
-                    "doc_id": row["doc_id"], "markdown": c["markdown"], "blocks": [{k: b.get(k) for k in ("block_no", "kind", "text", "page_index", "md_start", "md_end")} for b in c["blocks"]],
-                    "regions": [{"md_start": m["md_start"], "md_end": m["md_end"], "kind": m["kind"], **r} for m in c["source_map"] for r in m["regions"]],
-                    "tables": [{"page_index": t["page_index"], "kind": t["kind"], "confidence": t["confidence"], "rows": len(t["cells"]), "columns": len(t["cells"][0])} for t in c["tables"]],
-                    "figures": [{k: f[k] for k in ("page_index", "figure_no", "number", "kind", "x", "y", "width", "height")} for f in c["figures"]], "assets": c["csv"], "warnings": ws,
-                }
-                yield pa.RecordBatch.from_pylist([out], schema=arrow)
-
-    done = rest.join(per_doc, "doc_id", "left").select("doc_id", "lines", "rulings", "images", "outlines", "parse_warnings").mapInArrow(run, result)
-    counts = lines.groupBy("doc_id").agg(F.count(F.when(F.col("source") != "ocr", 1)).alias("n_pdf_lines"), F.count(F.when(F.col("source") == "ocr", 1)).alias("n_ocr_lines"), F.avg(F.when(F.col("source") == "ocr", F.col("confidence"))).alias("ocr_confidence"), F.count_distinct("page_index").alias("n_layout_pages"))
-    facts = done.select("doc_id", F.expr("aggregate(tables, cast(0 as double), (a, t) -> a + t.confidence) / nullif(size(tables), 0)").alias("table_confidence")).join(counts, "doc_id", "left").fillna(0, ["n_pdf_lines", "n_ocr_lines", "n_layout_pages"])
-    scores = W.confidence(facts).select("doc_id", F.struct("overall", "text", "layout", "tables").alias("confidence")).join(W.extraction_mode(facts).select("doc_id", "mode"), "doc_id")
+            rows, size = [], 0
+            for k in range(batch.num_rows):
+                rows.append(read(batch.slice(k, 1).to_pylist()[0]))
+                size += len(rows[-1]["markdown"])
+                if size > 4 << 20 or k == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                    rows, size = [], 0
+
+    done = W.extraction_mode(rest.mapInArrow(run, result)).withColumn("confidence", F.struct(*W.confidence_columns()))
     kinds = O.document_source_type(routed).select("doc_id", "source_type")
-    return done.join(scores, "doc_id", "left").join(kinds, "doc_id", "left").withColumn("source_type", F.coalesce("source_type", F.lit("unknown")))
-
-
-def document_ir(converted: DataFrame) -> DataFrame:
-    """doc_id and the nested representation as JSON: pages, each with its elements in order."""
-    each = converted.select("doc_id", "source_type", F.explode("blocks").alias("b")).where("b.page_index is not null")
-    pages = each.groupBy("doc_id", "source_type", F.col("b.page_index").alias("pageIndex")).agg(F.array_sort(F.collect_list(F.struct(F.col("b.block_no").alias("order"), F.when(F.col("b.kind") == "table", "table").otherwise("text").alias("type"), F.col("b.kind").alias("kind"), F.col("b.text").alias("text")))).alias("elements"))
-    return pages.groupBy("doc_id", "source_type").agg(F.array_sort(F.collect_list(F.struct("pageIndex", "elements"))).alias("pages")).select("doc_id", F.to_json(F.struct(F.lit("0.1.0").alias("schemaVersion"), F.col("source_type").alias("sourceType"), "pages")).alias("ir"))
+    names = [f.name for f in S.StructType.fromDDL(RESULT)]
+    return done.join(kinds, "doc_id", "left").select(*names, "confidence", "mode", F.coalesce("source_type", F.lit("unknown")).alias("source_type"))
+
+
+def by_path(converted: DataFrame, parsed: DataFrame) -> DataFrame:
+    """path and the result of every file: files of equal content share one."""
+    return parsed.select("doc_id", "path").join(converted, "doc_id")
+
+
+def document_ir(converted: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
+    """doc_id and the nested representation as JSON: pages, each with its elements: text and tables in order, equations, figures,
+    and, of the parsed files where they are given, form fields and annotations. A block without a page is left out."""
+    b, f = F.col("b"), F.col("f")
+    none = lambda kind: F.lit(None).cast(kind)
+    box = lambda c: F.struct(*[c[k].alias(k) for k in ("x", "y", "width", "height")])
+    kind = "struct<x:double,y:double,width:double,height:double>"
+    each = converted.select("doc_id", F.explode("blocks").alias("b")).where("b.page_index is not null and b.kind != 'figure'").select(
+        "doc_id", b["page_index"].alias("pageIndex"), F.when(b["kind"] == "equation", 1).otherwise(0).alias("part"), b["block_no"].alias("order"),
+        F.when(b["kind"].isin("table", "equation"), b["kind"]).otherwise("text").alias("type"), b["kind"].alias("kind"), b["text"].alias("text"), none(kind).alias("region"),
+    )
+    figures = converted.select("doc_id", F.explode("figures").alias("f")).select("doc_id", f["page_index"], F.lit(2), f["figure_no"], F.lit("figure"), f["kind"], F.concat(F.lit("Figure "), f["number"].cast("string")), box(f))
+    each = each.union(figures)
+    if parsed is not None:
+        fields = relation(parsed.dropDuplicates(["doc_id"]), "form_fields").where("page_index is not null")
+        notes = relation(parsed.dropDuplicates(["doc_id"]), "annotations")
+        each = each.union(fields.select("doc_id", "page_index", F.lit(3), "field_no", F.lit("form"), "type", F.concat_ws("=", "name", F.coalesce("value", "state")), none(kind)))
+        r = F.col("rect")
+        region = F.when(r.isNotNull(), F.struct(F.least(r[0], r[2]).alias("x"), F.least(r[1], r[3]).alias("y"), F.abs(r[2] - r[0]).alias("width"), F.abs(r[3] - r[1]).alias("height")))
+        each = each.union(notes.select("doc_id", "page_index", F.lit(4), "annotation_no", F.lit("annotation"), "subtype", F.coalesce("uri", "contents"), region))
+    pages = each.groupBy("doc_id", "pageIndex").agg(F.array_sort(F.collect_list(F.struct("part", "order", "type", "kind", "text", "region"))).alias("elements"))
+    pages = pages.withColumn("elements", F.transform("elements", lambda e: F.struct(e["type"].alias("type"), e["kind"].alias("kind"), e["text"].alias("text"), e["region"].alias("region"))))
+    whole = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pageIndex", "elements"))).alias("pages")).join(converted.select("doc_id", "source_type"), "doc_id")
+    return whole.select("doc_id", F.to_json(F.struct(F.lit("0.1.0").alias("schemaVersion"), F.col("source_type").alias("sourceType"), "pages")).alias("ir"))
 
 
 def output_hash(converted: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -51,13 +51,18 @@ def all_warnings(parts: list[DataFrame]) -> DataFrame:
     return rows.withColumn("ord", F.row_number().over(order) - 1).select("doc_id", "ord", "code", "page_index", "line_no")
 
 
-def confidence(documents: DataFrame) -> DataFrame:
-    """documents (doc_id, n_pdf_lines, ocr_confidence, n_layout_pages, table_confidence) with overall, text, layout and tables."""
+def confidence_columns() -> list[Column]:
+    """overall, text, layout and tables of a document (n_pdf_lines, ocr_confidence, n_layout_pages, table_confidence)."""
     pdf = F.col("n_pdf_lines") > 0
-    return documents.select(
-        "doc_id", F.when(pdf | F.col("ocr_confidence").isNotNull(), 0.25).otherwise(0.0).alias("overall"), F.when(pdf, 0.4).otherwise(F.coalesce(T.confidence_unit("ocr_confidence"), F.lit(0.0))).alias("text"),
+    return [
+        F.when(pdf | F.col("ocr_confidence").isNotNull(), 0.25).otherwise(0.0).alias("overall"), F.when(pdf, 0.4).otherwise(F.coalesce(T.confidence_unit("ocr_confidence"), F.lit(0.0))).alias("text"),
         F.when(F.col("n_layout_pages") > 0, 0.35).otherwise(0.0).alias("layout"), F.coalesce(T.round_half_up("table_confidence", 3), F.lit(0.0)).alias("tables"),
-    )
+    ]
+
+
+def confidence(documents: DataFrame) -> DataFrame:
+    """doc_id and confidence_columns of documents."""
+    return documents.select("doc_id", *confidence_columns())
 
 
 def extraction_mode(documents: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..operators import summaries as SU
 from ..operators import warnings as W
-from ..operators.pipeline import convert_documents
+from ..operators.pipeline import by_path, convert_documents, document_ir, output_hash
+from ..shared import saved
 from ..sources import sinks as SK
 from ..sources.pdf import samples
 from ..sources.pdf.document import Limits
@@ -40,9 +41,115 @@ SQL["pdf_headers"] = "SELECT doc_id, '1.7' AS pdf_version FROM documents"
 
 
 def pdf_convert(spark, sf_dir):
-    """Documents to PDF to Markdown: rows only."""
-    parsed = parse_files(_pdfs(spark, sf_dir))
-    return convert_documents(parsed).select("doc_id", "markdown", "mode", "source_type", F.size("blocks").alias("n_blocks"))
+    """Documents to PDF to Markdown: every file, and whether files of equal text get equal Markdown."""
+    parsed = saved(parse_files(_pdfs(spark, sf_dir)), "convert_parsed")
+    out = by_path(convert_documents(parsed), parsed)
+    return out.select(F.col("path").cast("long").alias("doc_id"), "markdown", "mode", "source_type", F.size("blocks").alias("n_blocks"))
+
+
+# whole conversion: a report for each customer, with a ruled table of orders
+
+
+_ITEMS = ("Alpha < beta", "gamma & delta", "see https://example.org/a_b.")
+
+
+def _reports(spark, sf_dir) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", F.struct("o_orderkey", F.col("o_orderstatus"), F.floor("o_totalprice").cast("long").cast("string").alias("price")).alias("o"))
+    last = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list("o")).alias("orders"))  # bounded: the orders of one customer
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").join(last, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "c_name", "c_mktsegment", F.coalesce("orders.o_orderkey", F.array().cast("array<long>")).alias("k"), F.coalesce("orders.o_orderstatus", F.array().cast("array<string>")).alias("s"), F.coalesce("orders.price", F.array().cast("array<string>")).alias("p"))
+
+    def run(it):
+        for batch in it:
+            data = []
+            for key, name, segment, k, s, p in zip(*(c.to_pylist() for c in batch.columns)):
+                table = [["Order", "State", "Price"], *([str(a), b, c] for a, b, c in zip(k, s, p))] if k else []
+                if table and key % 5 == 0:
+                    table[0] = ["Order and state", "", "Price"]
+                paragraph = [f"The customer {name} of the segment {segment.lower()} has a num-", f"ber of {len(k)} orders, *all* of them below."]
+                data.append(samples.report(f"Customer {key}", paragraph, list(_ITEMS), table, merged=key % 5 == 0))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(data, pa.binary())], names=["path", "content"])
+
+    return rows.mapInArrow(run, "path string, content binary")
+
+
+def _converted(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    parsed = saved(parse_files(_reports(spark, sf_dir)), "report_parsed")
+    return parsed, by_path(convert_documents(parsed), parsed).withColumn("id", F.col("path").cast("long"))
+
+
+def report_markdown(spark, sf_dir):
+    return _converted(spark, sf_dir)[1].select("id", "markdown", "mode", "source_type", "confidence.overall", "confidence.text", "confidence.layout", "confidence.tables")
+
+
+_REPORT = r"""o AS (SELECT o_custkey AS id, o_orderkey AS k, o_orderstatus AS s, CAST(floor(o_totalprice) AS BIGINT)::VARCHAR AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+t AS (SELECT id, count(*) AS n, string_agg('| ' || k || ' | ' || s || ' | ' || p || ' |', chr(10) ORDER BY o.n) AS gfm, string_agg('    <tr>' || chr(10) || '      <td>' || k || '</td>' || chr(10) || '      <td>' || s || '</td>' || chr(10) || '      <td>' || p || '</td>' || chr(10) || '    </tr>' || chr(10), '' ORDER BY o.n) AS html,
+    string_agg(k || ',' || s || ',' || p || chr(10), '' ORDER BY o.n) AS csv FROM o GROUP BY 1),
+r AS (SELECT c_custkey AS id, coalesce(n, 0) AS n, c_custkey % 5 = 0 AS merged, '# Customer ' || c_custkey AS heading, 'The customer ' || replace(replace(c_name, '_', '\_'), '#', '#') || ' of the segment ' || lower(c_mktsegment) || ' has a number of ' || coalesce(n, 0) || ' orders, \*all\* of them below.' AS paragraph,
+    '- Alpha &lt; beta' || chr(10) || '- gamma &amp; delta' || chr(10) || '- see <https://example.org/a_b>.' AS list,
+    CASE WHEN n IS NULL THEN NULL WHEN c_custkey % 5 = 0 THEN '<table>' || chr(10) || '  <thead>' || chr(10) || '    <tr>' || chr(10) || '      <th colspan="2">Order and state</th>' || chr(10) || '      <th>Price</th>' || chr(10) || '    </tr>' || chr(10) || '  </thead>' || chr(10) || '  <tbody>' || chr(10) || html || '  </tbody>' || chr(10) || '</table>'
+        ELSE '| Order | State | Price |' || chr(10) || '| ---: | --- | ---: |' || chr(10) || gfm END AS tab,
+    CASE WHEN n IS NULL THEN NULL ELSE CASE WHEN c_custkey % 5 = 0 THEN 'Order and state,,Price' ELSE 'Order,State,Price' END || chr(10) || csv END AS csv
+    FROM customer LEFT JOIN t ON t.id = c_custkey)"""
+SQL["report_markdown"] = f"""WITH {_REPORT} SELECT id, heading || chr(10) || chr(10) || paragraph || chr(10) || chr(10) || list || coalesce(chr(10) || chr(10) || tab, '') || chr(10) AS markdown, 'pdf-text' AS mode, 'digital' AS source_type, 0.25::DOUBLE AS overall, 0.4::DOUBLE AS text, 0.35::DOUBLE AS layout,
+    CASE WHEN n = 0 THEN 0.0 WHEN merged THEN 0.9 ELSE 0.95 END::DOUBLE AS tables FROM r"""
+
+
+def report_blocks(spark, sf_dir):
+    """Blocks with their places in the Markdown and on the page."""
+    out = _converted(spark, sf_dir)[1].select("id", F.explode("blocks").alias("b")).select("id", "b.*")
+    return out.select("id", "block_no", "kind", "text", "page_index", "md_start", "md_end")
+
+
+SQL["report_blocks"] = f"""WITH {_REPORT}, b AS (SELECT id, n, unnest(list_filter([heading, paragraph, list, tab], lambda x: x IS NOT NULL)) AS text, generate_subscripts(list_filter([heading, paragraph, list, tab], lambda x: x IS NOT NULL), 1) - 1 AS k FROM r),
+e AS (SELECT *, CAST(sum(length(text) + 2) OVER (PARTITION BY id ORDER BY k) - 2 AS INT) AS md_end FROM b)
+SELECT id, CAST(k AS INT) AS block_no, ['heading', 'paragraph', 'list', 'table'][CAST(k + 1 AS INT)] AS kind, text, 0 AS page_index, CAST(md_end - length(text) AS INT) AS md_start, md_end FROM e"""
+
+
+def report_tables(spark, sf_dir):
+    """Tables found, their CSV files and the summary by document."""
+    out = _converted(spark, sf_dir)[1].withColumn("doc_id", F.col("id"))
+    each = out.select("id", F.explode("tables").alias("t"), F.col("assets")[0].alias("a")).select("id", "t.kind", "t.confidence", "t.rows", "t.columns", "a.path", "a.content")
+    return each.join(SU.table_summary(out).select(F.col("doc_id").alias("id"), "n_ruled", "n_borderless", F.col("confidence").alias("mean"), "n_pages"), "id")
+
+
+SQL["report_tables"] = f"WITH {_REPORT} SELECT id, 'ruled' AS kind, CASE WHEN merged THEN 0.9 ELSE 0.95 END::DOUBLE AS confidence, CAST(n + 1 AS INT) AS \"rows\", 3 AS columns, 'assets/table-page-1-1-csv.csv' AS path, csv AS content, 1::BIGINT AS n_ruled, 0::BIGINT AS n_borderless, CASE WHEN merged THEN 0.9 ELSE 0.95 END::DOUBLE AS mean, 1::BIGINT AS n_pages FROM r WHERE n > 0"
+
+
+def report_warnings(spark, sf_dir):
+    return _converted(spark, sf_dir)[1].select("id", F.array_join("warnings.code", ",").alias("codes"))
+
+
+SQL["report_warnings"] = "SELECT c_custkey AS id, 'text.heuristic_content_stream' AS codes FROM customer"
+
+
+def report_ir(spark, sf_dir):
+    """The nested representation, read back from its JSON."""
+    parsed, out = _converted(spark, sf_dir)
+    ir = document_ir(out.dropDuplicates(["doc_id"]), parsed).withColumn("j", F.from_json("ir", "schemaVersion string, sourceType string, pages array<struct<pageIndex:int,elements:array<struct<type:string,kind:string,text:string>>>>"))
+    each = ir.join(parsed.select("doc_id", F.col("path").cast("long").alias("id")), "doc_id").select("id", "j.schemaVersion", "j.sourceType", F.explode("j.pages").alias("p"))
+    return each.select("id", "schemaVersion", "sourceType", "p.pageIndex", F.array_join("p.elements.kind", ",").alias("kinds"), F.array_join("p.elements.type", ",").alias("types"), F.array_join("p.elements.text", "|").alias("texts"))
+
+
+SQL["report_ir"] = f"""WITH {_REPORT} SELECT id, '0.1.0' AS schemaVersion, 'digital' AS sourceType, 0 AS pageIndex, 'heading,paragraph,list' || CASE WHEN tab IS NULL THEN '' ELSE ',table' END AS kinds, 'text,text,text' || CASE WHEN tab IS NULL THEN '' ELSE ',table' END AS types,
+    heading || '|' || paragraph || '|' || list || coalesce('|' || tab, '') AS texts FROM r"""
+
+
+def report_html(spark, sf_dir):
+    out = _converted(spark, sf_dir)[1]
+    return SK.html_documents(out.select(F.col("id").alias("doc_id"), "markdown")).select(F.col("doc_id").cast("long").alias("id"), F.regexp_count("html", F.lit("<h1>Customer [0-9]+</h1>")).alias("headings"), F.regexp_count("html", F.lit("<li>")).alias("items"), F.regexp_count("html", F.lit("<t[dh][ >]")).alias("cells"), F.regexp_count("html", F.lit('href="https://example.org/a_b"')).alias("links"))
+
+
+SQL["report_html"] = f"WITH {_REPORT} SELECT id, 1 AS headings, 3 AS items, CAST(CASE WHEN n = 0 THEN 0 ELSE 3 * n + CASE WHEN merged THEN 2 ELSE 3 END END AS INT) AS cells, 1 AS links FROM r"
+
+
+def report_hash(spark, sf_dir):
+    """The digest of what a conversion gave doesn't change when files are converted again, and differs where they do."""
+    one, two = _converted(spark, sf_dir)[1], _converted(spark, sf_dir)[1]
+    a, b = output_hash(one.dropDuplicates(["doc_id"])), output_hash(two.dropDuplicates(["doc_id"])).withColumnRenamed("output_sha256", "again")
+    return a.join(b, "doc_id").agg(F.count(F.lit(1)).alias("files"), F.count_distinct("output_sha256").alias("hashes"), F.count(F.when(F.col("again") == F.col("output_sha256"), 1)).alias("same"))
+
+
+SQL["report_hash"] = "SELECT count(*) AS files, count(*) AS hashes, count(*) AS same FROM customer"
 
 
 # structures, filters, fonts, operators, geometry: files that show each feature, from rows
@@ -268,5 +375,6 @@ QUERIES = {
     for name in (
         "pdf_roundtrip", "pdf_headers", "pdf_convert", "pdf_structures", "pdf_filters", "pdf_fonts", "unicode_warnings", "pdf_text_operators", "pdf_page_geometry", "pdf_rulings", "ruling_summary", "pdf_image_draws", "pdf_outlines",
         "pdf_tagged_lines", "tagged_roles", "pdf_form_fields", "form_summary", "pdf_annotations", "pdf_attachments", "pdf_faults", "pdf_passwords",
+        "report_markdown", "report_blocks", "report_tables", "report_warnings", "report_ir", "report_html", "report_hash",
     )
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.pipeline import convert_documents
+from ..shared import fresh_path, remove
 from ..sources.pdf.reader import parse_files
 
 _BINARY = "path string, modificationTime timestamp, length long, content binary"
@@ -19,7 +20,9 @@ def convert_stream(spark: SparkSession, folder: str, output: str, checkpoint: st
     arriving = spark.readStream.format("binaryFile").schema(_BINARY).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", max_files).load(folder)
 
     def batch(df, number: int) -> None:
-        convert_documents(parse_files(df.select("path", "content")), **options).write.mode("overwrite").parquet(f"{output}/batch={number}")
+        path = fresh_path(df.sparkSession, "ingest_parsed")
+        convert_documents(parse_files(df.select("path", "content")), parsed_to=path, **options).write.mode("overwrite").parquet(f"{output}/batch={number}")
+        remove(df.sparkSession, path)
 
     return arriving.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

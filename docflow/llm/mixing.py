@@ -42,7 +42,7 @@ def _one_round(left: DataFrame) -> DataFrame:
     below = left.groupBy(F.col("source").alias("s2"), F.col("bin").alias("b2")).agg(F.sum("size").alias("words"))
     below = below.withColumn("below", F.sum("words").over(Window.partitionBy("s2").orderBy("b2")) - F.col("words")).drop("words")
     summed = left.withColumn("so_far", F.sum("size").over(in_bin))
-    summed = summed.join(below, summed["source"].eqNullSafe(below["s2"]) & (summed["bin"] == below["b2"]))
+    summed = summed.join(below.hint("merge"), summed["source"].eqNullSafe(below["s2"]) & (summed["bin"] == below["b2"]))
     ranked = saved(summed.select("source", "bin", "n", "size", "gap", (F.col("below") + F.col("so_far") <= F.col("gap")).alias("took")), "mix_pass")
     gaps = saved(ranked.groupBy(F.col("source").alias("s3")).agg((F.first("gap") - F.coalesce(F.sum(F.when(F.col("took"), F.col("size"))), F.lit(0))).alias("rest")), "mix_gaps")
     fits = ranked.where("not took").join(gaps, F.col("source").eqNullSafe(F.col("s3"))).where("size <= rest")
@@ -90,7 +90,7 @@ def mix_documents(
         rounds.append(taken.where("took").select(F.col("source").alias("s2"), F.col("bin").alias("b2"), F.col("n").alias("n2"), F.lit(1).alias("more")))
         left = taken.where("not took and size <= gap").drop("took")
     more = reduce(DataFrame.union, rounds)
-    out = ranked.join(more, ranked["source"].eqNullSafe(more["s2"]) & (ranked["bin"] == more["b2"]) & (ranked["n"] == more["n2"]), "left")
+    out = ranked.join(more.hint("merge"), ranked["source"].eqNullSafe(more["s2"]) & (ranked["bin"] == more["b2"]) & (ranked["n"] == more["n2"]), "left")
     copies = F.when(F.col("size") > 0, F.col("whole") + F.coalesce("more", F.lit(0))).otherwise(0)
     return out.select("doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), (F.col("whole") + F.when(F.col("whole") < max_copies, F.col("p")).otherwise(0.0)).alias("expected"))
 
@@ -105,7 +105,7 @@ def apply_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     count = copies.groupBy(*alike).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("copies")).where("copies[0] > 0")
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(id_col).alias("a"), F.col(source_col).alias("b"), size.alias("c"))
-    met = rows.join(count, F.col("a").eqNullSafe(F.col("doc_id")) & F.col("b").eqNullSafe(F.col("source")) & (F.col("c") == F.col("size")))
+    met = rows.join(count.hint("merge"), F.col("a").eqNullSafe(F.col("doc_id")) & F.col("b").eqNullSafe(F.col("source")) & (F.col("c") == F.col("size")))
     # almost all have one row each; where there are more, they are numbered
     one = met.where(F.size("copies") == 1).select("row", F.col("copies")[0].alias("n"))
     numbered = Window.partitionBy("a", "b", "c").orderBy(F.xxhash64("row"))

@@ -1,21 +1,12 @@
-"""Tables and files in the folder that all executors share."""
+"""What the training-data operators share: tables in the shared folder, batches of documents."""
 
 from __future__ import annotations
 
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from ..shared import fresh_path, remove, saved, shared_folder
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset (tests), a folder below the warehouse."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return (folder or spark.conf.get("spark.sql.warehouse.dir") + "/shared").rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["fresh_path", "remove", "saved", "shared_folder", "small_batches"]
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
@@ -23,10 +14,3 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, str(rows))
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written to the shared folder and read from there: computed once, and lost with no executor."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -109,9 +109,35 @@ def page_languages(pages: DataFrame, defaults: list[str], overrides: DataFrame |
     return pages.join(last, ["doc_id", "page_index"], "left").withColumn("languages", F.when(F.size("_l") > 0, F.col("_l")).otherwise(base)).drop("_l")
 
 
-def preprocessing_plan(routed: DataFrame, *, deskew: bool = True, binarize: bool = True, denoise: bool = True) -> DataFrame:
-    """Operations planned for each page that goes to OCR (scanned or hybrid): doc_id, page_index, operations, status."""
-    ops = F.array(*[F.lit(n) for n, on in (("deskew", deskew), ("binarize", binarize), ("denoise", denoise)) if on] or [F.lit("none")])
-    goes = F.col("source_type").isin("scanned", "hybrid")
-    none = F.expr("cast(array() as array<string>)")
-    return routed.select("doc_id", "page_index", F.when(goes, ops).otherwise(none).alias("operations"), F.when(goes, "planned").otherwise("not-needed").alias("status"))
+#: script -> OCR languages
+SCRIPTS = {
+    "latin": ["eng"], "rtl": ["ara", "heb"], "arabic": ["ara"], "hebrew": ["heb"], "cjk": ["chi_sim", "chi_tra", "jpn", "kor"], "chinese": ["chi_sim", "chi_tra"], "japanese": ["jpn"], "korean": ["kor"], "vertical": ["jpn_vert"],
+}
+
+
+def language_selection(languages, scripts, fallback: tuple[str, ...] = ("eng",)):
+    """Languages given (trimmed; the fallback where none is), then those of the scripts hinted at, each once."""
+    strip = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: F.coalesce(x != "", F.lit(False)))
+    own = strip(languages)
+    table = F.create_map(*[y for k, v in SCRIPTS.items() for y in (F.lit(k), F.array(*map(F.lit, v)))])
+    hinted = F.flatten(F.filter(F.transform(strip(scripts), lambda x: table[F.lower(x)]), lambda x: x.isNotNull()))
+    return F.array_distinct(F.concat(F.when(F.size(own) > 0, own).otherwise(F.array(*map(F.lit, fallback))), hinted))
+
+
+def preprocessing_plan(routed: DataFrame, raster: DataFrame | None = None, *, deskew: bool = True, binarize: bool = True, denoise: bool = True) -> DataFrame:
+    """Operations for each page that goes to OCR (scanned or hybrid): doc_id, page_index, rotation_correction, operations, deferred, status.
+
+    routed may have the page's rotation; raster: what raster_plan gives. Where it has the page, operations on pixels are planned; where it
+    skipped the page, there are none; without it they are deferred, and the page has metadata alone."""
+    named = (("estimate-deskew", deskew), ("binarize", binarize), ("denoise", denoise))
+    empty = F.array().cast("array<string>")
+    pixels = F.array(*[F.lit(n) for n, on in named if on]) if any(on for _, on in named) else empty
+    pages = routed.where(F.col("source_type").isin("scanned", "hybrid"))
+    pages = pages if "rotation" in pages.columns else pages.withColumn("rotation", F.lit(0))
+    turn = F.pmod(360 - F.pmod(F.coalesce(F.col("rotation"), F.lit(0)).cast("int"), F.lit(360)), F.lit(360))
+    pages = pages.join(raster.select("doc_id", "page_index", F.col("status").alias("_r")), ["doc_id", "page_index"], "left") if raster is not None else pages.withColumn("_r", F.lit(None).cast("string"))
+    status = F.when(F.col("_r") == "skipped", "skipped-pixel-limit").when(F.col("_r").isNotNull(), "planned").otherwise("metadata-only")
+    first = F.when(turn != 0, F.array(F.lit("normalize-page-rotation"))).otherwise(empty)
+    return pages.select(
+        "doc_id", "page_index", turn.alias("rotation_correction"), F.concat(first, F.when(status == "planned", pixels).otherwise(empty)).alias("operations"), F.when(status == "metadata-only", pixels).otherwise(empty).alias("deferred"), status.alias("status")
+    )

@@ -40,6 +40,17 @@ def batch_plan(plan: DataFrame, *, max_pixels: int = 8_000_000, max_bytes: int =
     return pages.select("doc_id", F.explode(F.aggregate("p", start, step)["out"]).alias("e")).select("doc_id", "e.page_index", "e.batch_no")
 
 
+def gpu_plan(routed: DataFrame, plan: DataFrame, *, available: bool = True, max_pixels: int = 8_000_000, max_bytes: int = 256 << 20) -> DataFrame:
+    """Pages that go to OCR with their batch or the reason why they have none: doc_id, page_index, status (planned, missing-raster,
+    exceeds-batch-pixel-limit, exceeds-memory-limit, cpu-fallback) and batch_no. routed: doc_id, page_index, source_type; plan: as
+    raster_plan gives it."""
+    pages = routed.where(F.col("source_type").isin("scanned", "hybrid")).select("doc_id", "page_index").join(plan.select("doc_id", "page_index", "pixels"), ["doc_id", "page_index"], "left")
+    status = F.when(F.lit(not available), "cpu-fallback").when(F.col("pixels").isNull(), "missing-raster").when(F.col("pixels") > max_pixels, "exceeds-batch-pixel-limit").when(F.col("pixels") * 4 > max_bytes, "exceeds-memory-limit").otherwise("planned")
+    pages = pages.withColumn("status", status)
+    batches = batch_plan(pages.where("status = 'planned'"), max_pixels=max_pixels, max_bytes=max_bytes)
+    return pages.join(batches, ["doc_id", "page_index"], "left").select("doc_id", "page_index", "status", "batch_no")
+
+
 def binarize(rgba: np.ndarray, threshold: int = 128) -> np.ndarray:
     """RGBA of the same shape, black or white by luma >= threshold."""
     on = (luma(rgba) >= threshold).astype(np.uint8) * 255

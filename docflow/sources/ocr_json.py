@@ -26,11 +26,11 @@ def _split(spec: str) -> list[str]:
     return [*out, spec[at:].strip()]
 
 
-def read_ocr_results(spark: SparkSession, path: str) -> DataFrame:
-    """Boxes of JSON files of OCR results (one object a file, with the doc_id it belongs to): the box relation that
+def read_ocr_results(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
+    """Boxes of JSON files of OCR results (one object a file, or a line without multi_line, with the doc_id it belongs to): the box relation that
     operators.ocr.normalize_boxes takes. A page's boxes count, else its lines, else its words; of several results for a
     page the last one counts; corners may be given under several names."""
-    raw = spark.read.schema(_schema()).option("multiLine", "true").json(path)
+    raw = spark.read.schema(_schema()).option("multiLine", str(multi_line).lower()).json(path)
     pages = raw.select("doc_id", F.posexplode("results").alias("ord", "r"))
     last = pages.groupBy("doc_id", F.col("r.pageIndex").alias("page_index")).agg(F.max_by("r", "ord").alias("r"))
     filled = lambda c: F.when(F.size(F.col(f"r.{c}")) > 0, F.col(f"r.{c}"))

@@ -23,12 +23,13 @@ def heading_levels(lines: DataFrame, outlines: DataFrame | None = None) -> DataF
     first, then the depth of the outline item of that title (its first), then size: sizes of max(15, body + 2) or
     more, the six largest in turn."""
     half = T.round_half_up(F.col("font_size") * 2) / 2
-    body = dominant_font_size(lines)
-    sized = lines.join(body, "doc_id").withColumn("_half", half)
+    doc = Window.partitionBy("doc_id")
+    body = F.mode(F.when((F.trim("text") != "") & T.is_finite("font_size"), half), True).over(doc)
+    sized = lines.withColumn("_half", half).withColumn("body_size", F.coalesce(body, F.lit(12.0)))
     big = F.when((F.trim("text") != "") & (F.col("_half") >= F.greatest(F.lit(15.0), F.col("body_size") + 2)), F.col("_half"))
-    ranks = sized.select("doc_id", big.alias("_size")).where("_size is not null").distinct()
-    ranks = ranks.withColumn("_rank", F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.desc("_size")))).where("_rank <= 6").withColumnRenamed("doc_id", "_rd")
-    out = sized.join(ranks, (F.col("doc_id") == F.col("_rd")) & (F.col("_half") == F.col("_size")), "left").drop("_rd")
+    # the sizes of a document are few: half points
+    sizes = F.slice(F.sort_array(F.collect_set(big).over(doc), asc=False), 1, 6)
+    out = sized.withColumn("_rank", F.nullif(F.array_position(sizes, F.col("_half")), F.lit(0)))
     level = F.col("_rank")
     if outlines is not None:
         title = outlines.withColumn("_t", F.lower(T.normalize_text("title"))).where("_t != ''")
@@ -39,7 +40,7 @@ def heading_levels(lines: DataFrame, outlines: DataFrame | None = None) -> DataF
         tag = F.regexp_extract(F.coalesce("structure_role", F.lit("")), "^H([1-6])$", 1)
         ok = (tag != "") & tagged_heading_conflict(F.col("text"), F.col("font_size"), F.col("body_size")).isNull()
         level = F.when(ok, tag.cast("int")).otherwise(level)
-    return out.withColumn("heading_level", level.cast("int")).drop("_half", "_size", "_rank", "_depth", "body_size")
+    return out.withColumn("heading_level", level.cast("int")).drop("_half", "_rank", "_depth", "body_size")
 
 
 def tagged_heading_conflict(text: Column, size: Column, body: Column) -> Column:

@@ -10,8 +10,11 @@ LINES_PER_PAGE, LEFT, TOP, LEADING, SIZE = 46, 72.0, 720.0, 14.0, 12.0
 
 def lines_from_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Lines of plain texts, laid out on pages of 46 lines: doc_id, line_no, page_index, text, x, y, width, height,
-    font_size. A null text has no lines; an empty one has one, empty."""
-    cut = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "text"))
+    font_size. A null text has no lines; an empty one has one, empty.
+
+    Whole texts are shuffled by id before they are cut, so that windows and groups by document need no shuffle of lines."""
+    whole = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartition("doc_id")
+    cut = whole.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
     row = F.pmod(F.col("line_no"), F.lit(LINES_PER_PAGE))
     return cut.select(
         "doc_id", "line_no", F.floor(F.col("line_no") / LINES_PER_PAGE).cast("int").alias("page_index"), "text",

@@ -20,10 +20,14 @@ def token_counts(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def text_coverage(pairs: DataFrame) -> DataFrame:
-    """pairs (id, expected, actual): n_expected, n_actual, n_matched tokens as multisets and coverage (1 without expected ones)."""
-    ids = pairs.select("id")
-    match = multiset_match(token_counts(pairs, "id", "expected"), token_counts(pairs, "id", "actual"), ["id"], ["token"])
-    out = ids.join(match, "id", "left").fillna(0, ["n_expected", "n_actual", "n_matched"])
+    """pairs (id, expected, actual; of one id counted together): n_expected, n_actual, n_matched tokens as multisets and coverage (1 without
+    expected ones)."""
+    side = lambda c, e: F.transform(F.coalesce(T.tokens(c), F.array().cast("array<string>")), lambda t: F.struct(t.alias("token"), F.lit(e).alias("e"), F.lit(1 - e).alias("a")))
+    none = F.array(F.struct(F.lit(None).cast("string").alias("token"), F.lit(0).alias("e"), F.lit(0).alias("a")))  # so that no id is lost
+    # both texts of a pair are in one row: they are shuffled once, whole, and counted where they are
+    each = pairs.repartition("id").select("id", F.explode(F.concat(side("expected", 1), side("actual", 0), none)).alias("t")).select("id", "t.*")
+    n = each.groupBy("id", "token").agg(F.sum("e").alias("e"), F.sum("a").alias("a"))
+    out = n.groupBy("id").agg(F.sum("e").alias("n_expected"), F.sum("a").alias("n_actual"), F.sum(F.least("e", "a")).alias("n_matched"))
     return out.select("id", "n_expected", "n_actual", "n_matched", F.when(F.col("n_expected") == 0, 1.0).otherwise(F.col("n_matched") / F.col("n_expected")).alias("coverage"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import summaries as SU
 from ..operators import warnings as W
 from ..operators.pipeline import by_path, convert_documents, document_ir, output_hash
-from ..shared import saved
+from ..shared import saved, spread
 from ..sources import sinks as SK
 from ..sources.pdf import samples
 from ..sources.pdf.document import Limits
@@ -25,7 +25,7 @@ def _pdfs(spark, sf_dir):
 
 def pdf_roundtrip(spark, sf_dir):
     """Documents to PDF bytes, and their lines read back."""
-    lines = parse_files(_pdfs(spark, sf_dir)).select(F.col("path").cast("long").alias("doc_id"), F.explode("lines").alias("l"))
+    lines = parse_files(_pdfs(spark, sf_dir), only=("lines",)).select(F.col("path").cast("long").alias("doc_id"), F.explode("lines").alias("l"))
     return lines.select("doc_id", "l.line_no", "l.page_index", "l.text", "l.x", F.round("l.y", 3).alias("y"), "l.font_size")
 
 
@@ -157,7 +157,7 @@ SQL["report_hash"] = "SELECT count(*) AS files, count(*) AS hashes, count(*) AS
 
 def _files(spark, sf_dir, table: str, columns: list[str], build) -> DataFrame:
     """path (the first column) and content of build(*values) for every row of a table."""
-    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
+    rows = spread(spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns))
 
     def run(it):
         for batch in it:

@@ -30,3 +30,10 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a table of saved() that nothing reads any more."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, where it comes in fewer (a small table in few row groups): for work on rows that
+    outweighs a shuffle of them. A large table stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ...shared import spread
 from .content import Interpreter, merge_rulings, page_size, scan_streams
 from .document import Document, Limits
 from .values import PdfError
@@ -135,7 +136,7 @@ def parse_files(
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return binary.select("path", "content", (F.col(password_col) if password_col else F.lit(None)).cast("string").alias("password")).mapInArrow(run, SCHEMA)
+    return spread(binary.select("path", "content", (F.col(password_col) if password_col else F.lit(None)).cast("string").alias("password"))).mapInArrow(run, SCHEMA)
 
 
 def relation(parsed: DataFrame, name: str) -> DataFrame:

@@ -7,6 +7,8 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ...shared import spread
+
 
 def literal(text: str) -> bytes:
     """A string of the content in WinAnsi."""
@@ -59,4 +61,4 @@ def write_pdfs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 out.append(text_pdf([[(72, 720 - 14 * k, 12, x) for k, x in enumerate(lines[a : a + lines_per_page]) if x] for a in range(0, len(lines), lines_per_page)]))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(out, pa.binary())], names=["path", "content"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "path string, content binary")
+    return spread(docs.select(id_col, text_col)).mapInArrow(run, "path string, content binary")

@@ -21,8 +21,12 @@ def _warned(code: str):
 
 
 def _feature(name: str):
-    """A feature of the file that the case lists, met if text came out of it."""
-    return lambda: F.array_contains(F.coalesce("features", F.array().cast("array<string>")), name) & (F.length(F.trim("markdown")) > 0)
+    """A feature that the reader observed in the file (observed_features), with text that came out of it."""
+    return lambda: F.array_contains(F.coalesce("observed", F.array().cast("array<string>")), name) & (F.length(F.trim("markdown")) > 0)
+
+
+def _unseen(name: str):
+    return lambda: ~_feature(name)()
 
 
 def _table(condition: str):
@@ -33,7 +37,7 @@ _TEXT, _GFM = _has(r"\S"), _has(r"(?m)^\|(?: *:?-+:? *\|)+$")
 _HEADING, _LIST = _has(r"(?m)^#{1,6} "), _has(r"(?m)^\s*(?:- |\d+\. )")
 _GARBAGE = _has(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFD}]")
 
-#: label -> condition on columns markdown, blocks, tables, figures, assets, warnings, mode, source_type, features, form_fields
+#: label -> condition on columns markdown, blocks, tables, figures, assets, warnings, mode, source_type, observed, form_fields
 MUST = {
     "extract_main_text": _TEXT, "preserve_body_text": _TEXT, "preserve_paragraph_order": _TEXT, "extract_title": _has(r"(?m)^# "), "extract_headings": _HEADING, "preserve_heading": _HEADING, "preserve_section_headings": _HEADING, "extract_bullet_list": _has(r"(?m)^\s*- "),
     "preserve_lists": _LIST, "preserve_list_order": _LIST, "detect_visible_table": _table("ruled"), "detect_borderless_table": _table("borderless"), "detect_cell_span": _has(r'(?:row|col)span="'), "emit_gfm_table": _GFM, "emit_html_table": _has("<table>"), "emit_csv_sidecar": lambda: F.size("assets") > 0,
@@ -54,8 +58,11 @@ MUST_NOT = {
     "drop_vertical_writing_markup": lambda: ~_has("writing-mode: vertical-rl")(), "insert_synthetic_cjk_spaces": _has(r"[\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}] [\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}]"), "flatten_all_sections_into_one_paragraph": lambda: ~_HEADING(), "flatten_table_to_unstructured_paragraph": lambda: ~(_GFM() | _has("<table>")()),
     "emit_broken_gfm_for_spans": lambda: _GFM() & _has('colspan="')(), "flatten_vertical_columns": lambda: ~_has("writing-mode: vertical-rl")(), "drop_spanned_header": lambda: ~_has(r'colspan="')(), "bypass_encryption_without_password": _warned("security.password_required"), "omit_withdrawn_notice": lambda: ~_has("(?i)withdrawn")(),
     "drop_checked_state": lambda: ~F.exists("form_fields", lambda f: F.coalesce(f["checked"], F.lit(False))), "invent_missing_form_values": lambda: F.exists("form_fields", lambda f: f["value"] == "undefined"), "split_wrapped_cjk_paragraph": _has(r"[\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}]\n\n[\x{3040}-\x{30FF}]"),
-    "drop_rotated_text": lambda: ~_TEXT(), "drop_compressed_page_objects": lambda: ~_TEXT(), "use_stale_page_tree": lambda: ~_TEXT(), "ignore_newest_xref_revision": lambda: ~_TEXT(), "emit_ocr_duplicate_text": lambda: F.col("markdown").rlike(r"(?m)^(.{12,})\n\n\1$"), "repeat_running_header_in_body": lambda: F.col("markdown").rlike(r"(?ms)^(.{4,40})$.*^\1$.*^\1$"),
-    "drop_table_note": lambda: ~_TEXT(), "trust_repaired_output_without_diagnostics": lambda: (F.col("parse_mode") == "object-scan-repair") & (F.size("warnings") == 0), "drop_continued_rows": lambda: ~_table("any")(), "merge_adjacent_columns": lambda: ~_TEXT(), "drop_title_page_metadata": lambda: ~_HEADING(),
+    "drop_rotated_text": _unseen("rotated-page"), "drop_compressed_page_objects": _unseen("object-stream"), "use_stale_page_tree": _unseen("incremental-update"), "ignore_newest_xref_revision": _unseen("incremental-update"), "emit_ocr_duplicate_text": lambda: F.col("markdown").rlike(r"(?m)^(.{12,})\n\n\1$"), "repeat_running_header_in_body": lambda: F.col("markdown").rlike(r"(?ms)^(.{4,40})$.*^\1$.*^\1$"),
+    "drop_table_note": _unseen("table-note"), "trust_repaired_output_without_diagnostics": lambda: (F.col("parse_mode") == "object-scan-repair") & (F.size("warnings") == 0), "drop_continued_rows": lambda: ~_table("any")(), "merge_adjacent_columns": _unseen("two-column"), "drop_title_page_metadata": lambda: ~_HEADING(),
+    "drop_authenticator_requirement_tables": lambda: ~_table("any")(), "emit_bad_hidden_text": lambda: (F.col("source_type") == "hybrid") & (F.col("mode") == "pdf-text"), "fold_note_into_table": _has(r"(?im)^\|.*\b(?:note|notes)[:.].*\|$"), "interleave_columns_line_by_line": _unseen("two-column"),
+    "interleave_footnote_inside_body_sentence": _has(r"(?m)[a-z,]\n\n(?:\d+\\?\.|[a-z]\)) [^\n]*\n\n[a-z]"), "invent_chart_data": lambda: (F.size("figures") > 0) & _table("borderless")(), "invent_missing_values": _has(r"\b(?:undefined|NaN|None)\b"), "merge_rows_across_columns": _unseen("two-column"),
+    "move_caption_before_body": _has(r"(?i)^(?:figure|table)\s+\d+"), "prefer_hidden_media_box_content": _unseen("cropped-page"), "reverse_rtl_fragments": lambda: ~_has('dir="rtl"')(), "treat_acroform_metadata_as_user_filled_values": lambda: F.exists("form_fields", lambda f: F.coalesce(f["value"] == f["name"], F.lit(False))),
 }
 STRUCTURE = {
     "paragraph": _kind("paragraph"), "paragraphs": _kind("paragraph"), "heading_level_1": _has(r"(?m)^# "), "heading_level_2": _has(r"(?m)^## "), "section_headings": _HEADING, "lists": _LIST, "unordered_list": _has(r"(?m)^- "), "gfm_table": _GFM, "html_table": _has("<table>"), "csv_sidecar": lambda: F.size("assets") > 0,
@@ -70,9 +77,30 @@ MODES = {
 }
 
 
+def observed_features(parsed: DataFrame, converted: DataFrame) -> DataFrame:
+    """doc_id and observed: what the parsed files and their conversion show, by the names that cases use. One row for each of converted."""
+    from ..sources.pdf.reader import relation
+    from . import layout as L
+
+    parsed = parsed.dropDuplicates(["doc_id"])
+    lines = relation(parsed, "lines")
+    columns = L.detect_columns(lines).groupBy("doc_id").agg(F.max(F.size("columns") >= 2).alias("two"))
+    edges = lines.join(L.remove_running_content(lines).select("doc_id", "line_no"), ["doc_id", "line_no"], "left_anti").groupBy("doc_id").agg(F.max(F.col("y") >= 740).alias("top"), F.max(F.col("y") <= 60).alias("low"))
+    facts = converted.select("doc_id", "markdown", "tables", "figures").join(parsed.drop("warnings"), "doc_id", "left").join(columns, "doc_id", "left").join(edges, "doc_id", "left")
+    page = lambda test: F.exists("pages", test)
+    md = lambda p: F.col("markdown").rlike(p)
+    shown = {
+        "rotated-page": page(lambda p: F.pmod(p["rotation"], F.lit(360.0)) != 0), "cropped-page": page(lambda p: p["crop_box"] != p["media_box"]), "multi-page": F.size("pages") > 1, "long-document": F.size("pages") >= 20,
+        "tagged": F.exists("lines", lambda x: x["structure_role"].isNotNull()), "xref-stream": F.col("parse_mode").contains("xref-stream"), "object-stream": F.col("n_object_streams") > 0, "encrypted": F.col("encrypted"), "rc4-40": F.col("encrypted"), "standard-security-handler-r2": F.col("encrypted"),
+        "incremental-update": F.col("n_revisions") > 1, "xref-prev": F.col("n_revisions") > 1, "linearized": F.col("linearized"), "two-column": F.col("two"), "headers": F.col("top"), "footers": F.col("low"), "hidden-ocr-overlay": F.exists("lines", lambda x: x["hidden"]) & (F.size("images") > 0),
+        "vector-figure": F.exists("figures", lambda f: f["kind"] == "vector"), "split-table": F.size("tables") > 1, "table-note": md(r"(?im)^(?:table )?notes?[:.]"), "scientific-paper": md("(?i)abstract") & md("(?i)references"), "reading-order": F.size("lines") > 1,
+    }
+    return facts.select("doc_id", F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in shown.items()])).alias("observed"))
+
+
 def evaluate(results: DataFrame, cases: DataFrame) -> DataFrame:
     """Checks of results against cases: doc_id, rule (must, mustNot, structure, mode), label, passed, and unknown (no such label:
-    failed). results: what pipeline.convert_documents gives, with parse_mode, form_fields and features; cases: doc_id, must,
+    failed). results: what pipeline.convert_documents gives, with parse_mode, form_fields and observed (observed_features); cases: doc_id, must,
     must_not, structure (arrays of labels), expected_mode."""
     wanted = cases.select(
         "doc_id",

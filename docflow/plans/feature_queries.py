@@ -200,16 +200,35 @@ def acceptance_rules(spark, sf_dir):
     results = c.select(
         "doc_id", F.when(F.col("k") == 0, "# T\n\n- a\n\n<p dir=\"rtl\">x</p>\n").when(F.col("k") == 1, "word- break\n").otherwise("").alias("markdown"), F.array().cast("array<struct<block_no:int,kind:string,text:string,page_index:int,md_start:int,md_end:int>>").alias("blocks"),
         F.when(F.col("k") == 0, some).otherwise(F.array().cast(table)).alias("tables"), F.array().cast("array<struct<kind:string>>").alias("figures"), F.array().cast("array<string>").alias("assets"), F.array().cast("array<struct<code:string>>").alias("warnings"), F.when(F.col("k") == 2, "none").otherwise("pdf-text").alias("mode"),
-        F.lit("digital").alias("source_type"), F.array().cast("array<string>").alias("features"), F.array().cast("array<struct<value:string,state:string,checked:boolean>>").alias("form_fields"), F.lit("classic-xref").alias("parse_mode"),
+        F.lit("digital").alias("source_type"), F.when(F.col("k") == 0, F.array(F.lit("two-column"))).otherwise(F.array().cast("array<string>")).alias("observed"), F.array().cast("array<struct<name:string,value:string,state:string,checked:boolean>>").alias("form_fields"), F.lit("classic-xref").alias("parse_mode"),
     )
-    cases = c.select("doc_id", F.array(F.lit("extract_title"), F.lit("repair_line_end_hyphenation"), F.lit("no_such_rule")).alias("must"), F.array(F.lit("emit_empty_markdown"), F.lit("drop_bidi_markup")).alias("must_not"), F.array(F.lit("three_rows"), F.lit("unordered_list")).alias("structure"), F.lit("pdf-text").alias("expected_mode"))
+    cases = c.select("doc_id", F.array(F.lit("extract_title"), F.lit("repair_line_end_hyphenation"), F.lit("no_such_rule")).alias("must"), F.array(F.lit("emit_empty_markdown"), F.lit("drop_bidi_markup"), F.lit("interleave_columns_line_by_line")).alias("must_not"), F.array(F.lit("three_rows"), F.lit("unordered_list")).alias("structure"), F.lit("pdf-text").alias("expected_mode"))
     return A.evaluate(results, cases)
 
 
 SQL["acceptance_rules"] = """WITH c AS (SELECT CAST(c_custkey AS VARCHAR) AS doc_id, c_custkey % 3 AS k FROM customer), v(rule, label, a, b, c) AS (VALUES ('must', 'extract_title', TRUE, FALSE, FALSE), ('must', 'repair_line_end_hyphenation', TRUE, FALSE, TRUE), ('must', 'no_such_rule', FALSE, FALSE, FALSE),
-    ('mustNot', 'emit_empty_markdown', TRUE, TRUE, FALSE), ('mustNot', 'drop_bidi_markup', TRUE, FALSE, FALSE), ('structure', 'three_rows', TRUE, FALSE, FALSE), ('structure', 'unordered_list', TRUE, FALSE, FALSE), ('mode', 'pdf-text', TRUE, TRUE, FALSE))
+    ('mustNot', 'emit_empty_markdown', TRUE, TRUE, FALSE), ('mustNot', 'drop_bidi_markup', TRUE, FALSE, FALSE), ('mustNot', 'interleave_columns_line_by_line', TRUE, FALSE, FALSE), ('structure', 'three_rows', TRUE, FALSE, FALSE), ('structure', 'unordered_list', TRUE, FALSE, FALSE), ('mode', 'pdf-text', TRUE, TRUE, FALSE))
 SELECT doc_id, rule, label, CASE k WHEN 0 THEN a WHEN 1 THEN b ELSE c.c END AS passed, label = 'no_such_rule' AS unknown FROM (SELECT c.doc_id, c.k, v.rule, v.label, v.a, v.b, v.c FROM c, v) c"""
 
+
+def pdf_observed(spark, sf_dir):
+    """What the reader observes in files of eight structures and in turned and cropped pages."""
+    from ..operators.pipeline import by_path, convert_documents
+    from ..shared import saved
+    from ..sources.pdf import samples
+    from ..sources.pdf.reader import parse_files
+    from .pdf_queries import _files
+
+    kinds = samples.STRUCTURES
+    files = _files(spark, sf_dir, "part", ["p_partkey"], lambda k: samples.page_geometry(k) if k % 9 == 8 else samples.structured(kinds[k % 9], f"Part {k}\nsecond line\nNote: it."))
+    parsed = saved(parse_files(files, tolerant=True), "observed_parsed")
+    seen = A.observed_features(parsed, convert_documents(parsed))
+    return by_path(seen, parsed).select(F.col("path").cast("long").alias("part"), F.array_join("observed", ",").alias("observed"))
+
+
+SQL["pdf_observed"] = """SELECT p_partkey AS part, CASE p_partkey % 9 WHEN 1 THEN 'xref-stream,object-stream,' WHEN 2 THEN 'xref-stream,object-stream,' WHEN 3 THEN 'incremental-update,xref-prev,' WHEN 5 THEN 'encrypted,rc4-40,standard-security-handler-r2,' ELSE '' END
+    || CASE WHEN p_partkey % 9 < 8 THEN 'reading-order' ELSE concat_ws(',', CASE WHEN p_partkey % 4 > 0 THEN 'rotated-page' END, CASE WHEN p_partkey % 2 = 1 THEN 'cropped-page' END) END AS observed FROM part"""
+
 # plans
 
 
@@ -451,7 +470,7 @@ SQL["line_samples"] = f"WITH {LINES}, n AS (SELECT doc_id, line_no, text, row_nu
 QUERIES = {
     name: globals()[name]
     for name in (
-        "grid_shapes", "grid_cells", "grid_lines", "grid_summary", "grid_exports", "html_table_cells", "html_table_diff", "public_tables", "rendered_gate", "hyphenation", "memory_profile", "snippet_pages", "trace_sanitized", "acceptance_rules",
+        "grid_shapes", "grid_cells", "grid_lines", "grid_summary", "grid_exports", "html_table_cells", "html_table_diff", "public_tables", "rendered_gate", "hyphenation", "memory_profile", "snippet_pages", "trace_sanitized", "acceptance_rules", "pdf_observed",
         "preprocessing_plan", "gpu_plan", "ocr_languages", "script_languages", "binarized", "adaptive", "ocr_results", "csv_read_back", "ocr_debug_files", "marked_lines", "outline_levels", "coalesced_spans", "sidebars", "text_directions",
         "vertical_columns", "tag_conflicts", "figure_blocks", "alt_texts", "line_samples",
     )

@@ -87,7 +87,7 @@ class Document:
         self.total = 0
         self.key: bytes | None = None
         self.trailer: dict = {}
-        self.mode = ""
+        self.mode, self.revisions = "", 1
         try:
             self._read_chain()
             if not isinstance(self.load(self.trailer.get("Root")), dict):
@@ -135,7 +135,7 @@ class Document:
             self.trailer = trailer | self.trailer
             if isinstance(trailer.get("Prev"), (int, float)):
                 todo.append(int(trailer["Prev"]))
-        self.mode = modes[0]
+        self.mode, self.revisions = modes[0], len(modes)
 
     def _table(self, p: Parser) -> tuple[dict, list, str]:
         p.at += 4

@@ -37,6 +37,7 @@ RELATIONS: dict[str, S.StructType] = {
 }
 SCHEMA = S.StructType(
     [S.StructField("doc_id", S.StringType()), S.StructField("path", S.StringType()), S.StructField("pdf_version", S.StringType()), S.StructField("parse_mode", S.StringType()), S.StructField("has_xfa", S.BooleanType())]
+    + [S.StructField("encrypted", S.BooleanType()), S.StructField("linearized", S.BooleanType()), S.StructField("n_revisions", S.IntegerType()), S.StructField("n_object_streams", S.IntegerType())]
     + [S.StructField(n, S.ArrayType(t)) for n, t in RELATIONS.items()]
 )
 
@@ -59,7 +60,7 @@ def parse_file(data: bytes, *, password: str | None = None, tolerant: bool = Fal
     """The relations of one file. What can't be read becomes a warning, never an exception: a page that fails keeps what was
     read of the others, and a file without readable structure is scanned for content streams."""
     limits = limits or Limits()
-    out: dict = {n: [] for n in RELATIONS} | {"pdf_version": None, "parse_mode": None, "has_xfa": None}
+    out: dict = {n: [] for n in RELATIONS} | {"pdf_version": None, "parse_mode": None, "has_xfa": None, "encrypted": None, "linearized": None, "n_revisions": None, "n_object_streams": None}
     began = time.monotonic()
     try:
         doc = Document(data, password=password, tolerant=tolerant, limits=limits)
@@ -102,6 +103,7 @@ def parse_file(data: bytes, *, password: str | None = None, tolerant: bool = Fal
         rulings += merge_rulings(it.rulings)
     out["lines"] = [x | {"line_no": n} for n, x in enumerate(out["lines"])]
     out["rulings"] = [x | {"ruling_no": n} for n, x in enumerate(rulings)]
+    out |= {"encrypted": doc.key is not None, "linearized": b"/Linearized" in data[:1024], "n_revisions": doc.revisions, "n_object_streams": len(doc.members)}
     return out
 
 

@@ -80,7 +80,8 @@ def test_acceptance(spark, parsed, converted):
     text = 'id: a\ngate: text-mvp\nexpectedMode: pdf-text\nmust:\n  - extract_title\n  - extract_bullet_list # yes\n  - no_such_label\nmustNot:\n  - emit_empty_markdown\nmetrics:\n  minTextCoverage: 0.98\nsnippets:\n  - page: 1\n    contains: "Some: text"\nstructure:\n  expected:\n    - heading_level_1\n'
     case = acceptance.parse_acceptance(text)
     assert case["must"] == ["extract_title", "extract_bullet_list", "no_such_label"] and case["metrics"] == {"minTextCoverage": 0.98} and case["snippets"] == [{"page": 1, "contains": "Some: text"}] and case["structure"] == {"expected": ["heading_level_1"]}
-    results = converted.join(parsed.select("doc_id", "parse_mode", "form_fields"), "doc_id").withColumn("features", F.array(F.lit("paragraphs")))
+    seen = acceptance.observed_features(parsed, converted)
+    results = converted.join(parsed.select("doc_id", "parse_mode", "form_fields"), "doc_id").join(seen, "doc_id")
     doc = results.first().doc_id
     cases = spark.createDataFrame([(doc, case["must"], case["mustNot"], case["structure"]["expected"], case["expectedMode"])], "doc_id string, must array<string>, must_not array<string>, structure array<string>, expected_mode string")
     got = {(r.rule, r.label): (r.passed, r.unknown) for r in acceptance.evaluate(results, cases).collect()}

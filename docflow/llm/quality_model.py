@@ -19,7 +19,7 @@ from .quality_rules import text_counts
 from .shared import saved
 from .textstats import COUNTS
 
-FEATURES, RIDGE, WIDTH, BINS, SUMMERS = 256, 1e-3, 0.7, 1024, 32
+FEATURES, RIDGE, WIDTH, BINS = 256, 1e-3, 0.7, 1024
 _AT = {c: k for k, c in enumerate(COUNTS)}
 
 
@@ -86,22 +86,30 @@ def fit(stats: DataFrame, labels: DataFrame, *, features: int = FEATURES, ridge:
     least counts, and null labels don't. A fourth of the rows calibrates. Without rows, all scores are 0.5."""
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("id")).agg((F.min("quality") > 0).cast("int").alias("y"))
     rows = stats.join(known, F.col("doc_id") == F.col("id")).where(~held_out(F.col("doc_id"))).withColumn("fold", F.crc32(F.concat(F.lit("fold:"), F.col("doc_id").cast("string")).cast("binary")) % 4 == 0)
-    rows = saved(rows.select("y", "fold", *COUNTS), "quality_fit").coalesce(SUMMERS)
+    rows = saved(rows.select("y", "fold", *COUNTS), "quality_fit")
+
+    d = statistics(np.zeros((1, len(COUNTS)))).shape[1]
 
     def moments(it):
-        n, s, q = 0, 0.0, 0.0
+        total = np.zeros(2 * d + 1)
         for batch in it:
             x = statistics(_matrix(batch, 2))
-            n, s, q = n + len(x), s + x.sum(axis=0), q + (x**2).sum(axis=0)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([s.tolist()]), pa.array([q.tolist()])], names=["n", "s", "q"])
-
-    parts = rows.mapInArrow(moments, "n long, s array<double>, q array<double>").collect()  # SUMMERS rows at most
-    d = statistics(np.zeros((1, len(COUNTS)))).shape[1]
+            total += np.concatenate([[len(x)], x.sum(axis=0), (x**2).sum(axis=0)])
+        if total[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["k", "v"])
+
+    def summed(partial, size: int) -> np.ndarray:
+        """A vector that the partitions of rows have sums of: added up by Spark, `size` numbers come to the driver."""
+        out = np.zeros(size)
+        for r in rows.mapInArrow(partial, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
+            out[r.k] = r.v
+        return out
+
+    first = summed(moments, 2 * d + 1)
     g = np.random.Generator(np.random.PCG64(seed))
-    n = sum(p.n for p in parts)
-    mean = np.sum([p.s for p in parts], axis=0) / n if n else np.zeros(d)
-    var = np.sum([p.q for p in parts], axis=0) / n - mean**2 if n else np.ones(d)
+    n = int(first[0])
+    mean = first[1 : d + 1] / n if n else np.zeros(d)
+    var = first[d + 1 :] / n - mean**2 if n else np.ones(d)
     scale = np.sqrt(np.maximum(var, 1e-9))
     model = QualityModel(mean, scale, g.normal(0, 1 / (WIDTH * np.sqrt(d)), (d, features)), g.uniform(0, 2 * np.pi, features), np.zeros(features + 1), np.array([0.0, 1.0]), np.array([0.5, 0.5]))
     if not n:
@@ -118,9 +126,7 @@ def fit(stats: DataFrame, labels: DataFrame, *, features: int = FEATURES, ridge:
             value = np.concatenate([a[at_i, at_j], b])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(value), dtype=np.int32)), pa.array(value)], names=["k", "v"])
 
-    sums = np.zeros(len(at_i) + features + 1)
-    for r in rows.mapInArrow(normal, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():  # as many rows as the equations have numbers
-        sums[r.k] = r.v
+    sums = summed(normal, len(at_i) + features + 1)
     a = np.zeros((features + 1, features + 1))
     a[at_i, at_j] = sums[: len(at_i)]
     a = a + a.T - np.diag(np.diag(a))

@@ -103,14 +103,13 @@ def fit_cutoffs(stats: DataFrame, labels: DataFrame, *, stratum_col: str = "lang
     beyond = [F.sum(rejects(g).cast("long")).alias(n) for g, n in enumerate(names)]
     seen = stats.join(good, stats[id_col] == good["__id"], "left_semi").groupBy(F.col(stratum_col).alias("stratum")).agg(F.count(F.lit(1)).alias("n_good"), *beyond)
     strata = stats.select(F.col(stratum_col).alias("stratum")).distinct()
-    # one row a stratum; windows over all of them only to count them
-    n_strata = strata.agg(F.count(F.lit(1)).alias("n_strata"))
-    table = strata.alias("a").join(seen.alias("b"), F.col("a.stratum").eqNullSafe(F.col("b.stratum")), "left").select("a.stratum", F.coalesce("n_good", F.lit(0)).alias("n_good"), *[F.coalesce(n, F.lit(0)).alias(n) for n in names]).join(F.broadcast(n_strata))
+    n_strata = strata.count()
+    table = strata.alias("a").join(seen.alias("b"), F.col("a.stratum").eqNullSafe(F.col("b.stratum")), "left").select("a.stratum", F.coalesce("n_good", F.lit(0)).alias("n_good"), *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
     kind = table.schema["stratum"].dataType.simpleString()
 
     def run(it):
         for pdf in it:
-            at = [choose([row[n] for n in names], row["n_good"], alpha, delta / max(row["n_strata"], 1)) for row in pdf[["n_good", "n_strata", *names]].to_dict("records")]
+            at = [choose([row[n] for n in names], row["n_good"], alpha, delta / max(n_strata, 1)) for row in pdf[["n_good", *names]].to_dict("records")]
             out = pd.DataFrame({"stratum": pdf["stratum"], "n_good": pdf["n_good"]})
             for r in RULES:
                 out[f"cut_{r}"] = pd.Series([None if a < 0 else cutoff(r, a) for a in at], dtype=object)
@@ -120,7 +119,7 @@ def fit_cutoffs(stats: DataFrame, labels: DataFrame, *, stratum_col: str = "lang
 
 
 def judge(stats: DataFrame, cutoffs: DataFrame, *, stratum_col: str = "lang") -> DataFrame:
-    """stats with base_failed, n_lines_failed.. replaced by failed_rules (array of names) and kept."""
+    """stats with base_failed, failed_rules (the names of the rules that reject the text) and kept."""
     c = cutoffs.alias("c")
     joined = stats.alias("s").join(c, F.col(f"s.{stratum_col}").eqNullSafe(F.col("c.stratum")), "left")
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

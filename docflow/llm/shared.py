@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import SparkSession
 
 from ..shared import fresh_path, remove, saved, shared_folder
 
-__all__ = ["fresh_path", "remove", "saved", "shared_folder", "small_batches"]
+__all__ = ["free_shuffles", "fresh_path", "remove", "saved", "shared_folder", "small_batches"]
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
@@ -14,3 +16,10 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, str(rows))
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let the executors delete the shuffle files of finished steps: Spark does so when the driver collects garbage, which a driver
+    with little to do puts off."""
+    gc.collect()
+    spark._jvm.System.gc()

@@ -56,6 +56,20 @@ def character_error_rate(pairs: DataFrame) -> DataFrame:
     return _error_rates(pairs.select("id", "expected", "actual"), pieces)
 
 
+def unicode_accuracy(pairs: DataFrame) -> DataFrame:
+    """id, distance and accuracy (1 - distance / length, 0 at least) over the characters beyond ASCII of pairs (id, expected, actual), composed
+    (NFC) and without Markdown markup. Without such characters in expected: 1 less any in actual."""
+
+    def pieces(a, b):
+        one = lambda x: characters("".join(c for c in x if ord(c) > 127))
+        for k, (x, y) in enumerate(zip(pc.utf8_normalize(a, "NFC"), pc.utf8_normalize(b, "NFC"))):
+            if x.is_valid and y.is_valid:
+                yield k, one(x.as_py()), one(y.as_py())
+
+    rates = _error_rates(pairs.select("id", T.comparable_text("expected").alias("expected"), T.comparable_text("actual").alias("actual")), pieces)
+    return rates.select("id", "distance", (1 - F.least("rate", F.lit(1.0))).alias("accuracy"))
+
+
 def token_error_rate(pairs: DataFrame) -> DataFrame:
     """id, distance and rate over tokens: each distinct token becomes a number, however many there are."""
 

@@ -203,10 +203,7 @@ SELECT id, CAST((n + 3) // 7 + 1 AS INT) AS distance, ((n + 3) // 7 + 1) / great
 
 def unicode_accuracy(spark, sf_dir):
     """1 - distance / length over the characters beyond ASCII of each document."""
-    n = _noisy(spark, sf_dir)
-    only = lambda c: F.regexp_replace(c, r"[\x00-\x7F]+", "")
-    d = M.character_error_rate(n.select("id", only("expected").alias("expected"), only("actual").alias("actual")))
-    return d.select("id", "distance", (1 - F.least("rate", F.lit(1.0))).alias("accuracy"))
+    return M.unicode_accuracy(_noisy(spark, sf_dir))
 
 
 SQL["unicode_accuracy"] = f"WITH {NOISY}, d AS (SELECT id, length(regexp_replace(expected, '[\\x00-\\x7F]+', '', 'g')) AS n, CAST(length(regexp_replace(expected, '[^é]+', '', 'g')) AS INT) AS distance FROM noisy) SELECT id, distance, 1 - least(distance / greatest(n, 1), 1.0::DOUBLE) AS accuracy FROM d"

@@ -12,6 +12,7 @@ The draws come from tables: (r, b) and c by different bits of a term's 64-bit ha
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -117,36 +118,59 @@ def compare_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     the id column, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next; other columns are
     dropped, whatever their names. An empty table gives an empty table.
 
-    The order is found without a global window: ids are cut into ranges at approximate quantiles, a range is a
-    partition, and the first row of each range is also sent to the range before it. So the texts are shuffled once,
-    and what the driver holds is one id a partition.
+    The order is found without a global window: rows are cut into ranges at approximate quantiles of the id, and where many share
+    an id, or have none, of the first 7 bytes of their texts. A range is a partition, and the first row of each range is
+    also sent to the range before it (with those of the same id and 7 bytes). So the texts are shuffled once, and what the driver
+    holds is one id a partition.
     """
     spark = docs.sparkSession
     small_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("k"), F.col(id_col).isNull().alias("void"), F.col(text_col).cast("string").alias("t"))
-    keys = rows.select("k")
-    cuts = np.unique(np.array([int(x) for x in keys.where("k > -9223372036854775808").approxQuantile("k", [i / n for i in range(1, n)], 0.1 / n) or []], np.int64)) if n > 1 else np.zeros(0, np.int64)
-
-    def range_of(k):
+    # in the order of (k, q), ascending, rows stand from the last to the first
+    head = F.conv(F.rpad(F.substring(F.hex(F.encode(F.substring(F.coalesce("t", F.lit("")), 1, 7), "UTF-8")), 1, 14), 14, "0"), 16, 10).cast("long")
+    rows = rows.withColumn("q", -head)
+    keys = rows.select("k", "q")
+    quantiles = [int(x) for x in keys.approxQuantile("k", [i / n for i in range(1, n)], 0.1 / n) or []] if n > 1 else []
+    least = -(2**63)
+    cuts = {(c, least) for c in quantiles}
+    hot = {c: m for c, m in Counter(quantiles).items() if m > 1}  # n / 2 at most
+    if hot:
+        shares = F.percentile_approx("q", [i / 64 for i in range(1, 64)], 1000)
+        for r in keys.where(F.col("k").isin(list(hot))).groupBy("k").agg(shares.alias("s")).collect():
+            m = min(hot[r.k], 64)  # with the cut at the id itself as many as the quantiles, so no more ranges than partitions
+            cuts |= {(r.k, int(r.s[63 * j // m])) for j in range(1, m)}
+    cut_k, cut_q = (np.array([c[x] for c in sorted(cuts)], np.int64) for x in (0, 1))
+
+    def slots(k: np.ndarray, q: np.ndarray) -> np.ndarray:
+        out, high = np.searchsorted(cut_k, k, "left"), np.searchsorted(cut_k, k, "right")
+        for c in np.unique(k[high > out]).tolist():
+            some = np.flatnonzero(k == c)
+            low = int(out[some[0]])
+            out[some] = low + np.searchsorted(cut_q[low : int(high[some[0]])], q[some], "right")
+        return out
+
+    def range_of(k, q):
         import pandas as pd
 
-        return pd.Series(np.searchsorted(cuts, k.to_numpy(), "right").astype(np.int32))
+        return pd.Series(slots(k.to_numpy(), q.to_numpy()).astype(np.int32))
 
     slot = F.pandas_udf(range_of, "int")
-    firsts = {r[0]: r[1] for r in keys.groupBy(slot("k").alias("s")).agg(F.max("k")).collect()}  # one row a partition
+    firsts = {r[0]: (r[1].k, r[1].q) for r in keys.groupBy(slot("k", "q").alias("s")).agg(F.max(F.struct("k", "q"))).collect()}  # one row a partition
     order = sorted(firsts)
-    before = {firsts[s]: order[x + 1] if x + 1 < len(order) else order[0] for x, s in enumerate(order)}
-    lead_id, lead_to = np.array(sorted(before), np.int64), np.array([before[k] for k in sorted(before)], np.int64)
+    lead = {firsts[s]: order[x + 1] if x + 1 < len(order) else order[0] for x, s in enumerate(order)}
+    lead_k = np.array(sorted({k for k, _ in lead}), np.int64)
 
-    def places(k):
+    def places(k, q):
         import pandas as pd
 
-        ids = k.to_numpy()
-        own = np.searchsorted(cuts, ids, "right") * 2
-        at = np.minimum(np.searchsorted(lead_id, ids), max(len(lead_id) - 1, 0))
-        lead = lead_id[at] == ids if len(lead_id) else np.zeros(len(ids), bool)
-        return pd.Series([[o, int(lead_to[a]) * 2 + 1] if f else [o] for o, f, a in zip(own.tolist(), lead.tolist(), at.tolist())])
+        k, q = k.to_numpy(), q.to_numpy()
+        out = [[x] for x in (slots(k, q) * 2).tolist()]
+        for x in np.flatnonzero(np.isin(k, lead_k)).tolist():
+            to = lead.get((int(k[x]), int(q[x])))
+            if to is not None:
+                out[x].append(to * 2 + 1)
+        return pd.Series(out)
 
     schema = f"`{id_col}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
@@ -171,7 +195,7 @@ def compare_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                     )
                 held = held[-1:]
 
-    spread = rows.withColumn("p", F.explode(F.pandas_udf(places, "array<long>")("k")))
+    spread = rows.withColumn("p", F.explode(F.pandas_udf(places, "array<long>")("k", "q")))
     ordered = spread.repartitionById(n, F.shiftright("p", 1).cast("int")).sortWithinPartitions(F.col("p").bitwiseAND(1), F.desc("k"), F.col("void"), "t")
     return ordered.mapInArrow(run, schema)
 

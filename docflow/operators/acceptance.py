@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -156,3 +157,39 @@ def parse_acceptance(text: str) -> dict:
         return found, at
 
     return block(0, lines[0][0])[0] if lines else {}
+
+
+CASE = "case_id string, gate string, expected_mode string, must array<string>, must_not array<string>, structure array<string>, snippets array<struct<page:int,contains:string>>, metrics map<string,double>"
+
+
+def read_cases(files: DataFrame) -> DataFrame:
+    """CASE of acceptance files (path, content): one row a file, with its path. Lists that are absent are empty; a file without id has its name."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = StructType.fromDDL("path string, " + CASE)
+    arrow = to_arrow_schema(schema)
+
+    def one(path: str | None, text: str | None) -> dict:
+        c = parse_acceptance(text or "")
+        c = c if isinstance(c, dict) else {}
+        some = lambda v: [str(x) for x in v if x is not None] if isinstance(v, list) else []
+        inner = lambda k: c[k] if isinstance(c.get(k), dict) else {}
+        return {
+            "path": path, "case_id": str(c.get("id") or re.sub(r"\.\w+$", "", (path or "").rpartition("/")[2])), "gate": c.get("gate") and str(c["gate"]), "expected_mode": c.get("expectedMode") and str(c["expectedMode"]), "must": some(c.get("must")), "must_not": some(c.get("mustNot")),
+            "structure": some(inner("structure").get("expected")), "snippets": [{"page": x.get("page"), "contains": str(x.get("contains"))} for x in c.get("snippets") or [] if isinstance(x, dict)], "metrics": {k: float(v) for k, v in inner("metrics").items() if isinstance(v, (int, float))},
+        }
+
+    def run(it):
+        for batch in it:
+            yield pa.RecordBatch.from_pylist([one(p, t) for p, t in zip(*(c.to_pylist() for c in batch.columns))], schema=arrow)
+
+    return files.select("path", F.col("content").cast("string")).mapInArrow(run, schema)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of a corpus manifest (JSON with a list `entries`): id, kind, path, source_type, url, license, features and acceptance_path."""
+    entry = "id:string,kind:string,path:string,source:struct<type:string,url:string,description:string,command:string>,license:struct<name:string,notes:string>,features:array<string>,acceptancePath:string"
+    raw = spark.read.schema(f"schemaVersion int, entries array<struct<{entry}>>").option("multiLine", "true").json(path)
+    e = raw.select(F.explode("entries").alias("e"))
+    return e.select("e.id", "e.kind", "e.path", F.col("e.source.type").alias("source_type"), F.col("e.source.url").alias("url"), F.col("e.license.name").alias("license"), F.coalesce("e.features", F.array().cast("array<string>")).alias("features"), F.col("e.acceptancePath").alias("acceptance_path"))

@@ -211,6 +211,35 @@ SQL["acceptance_rules"] = """WITH c AS (SELECT CAST(c_custkey AS VARCHAR) AS doc
 SELECT doc_id, rule, label, CASE k WHEN 0 THEN a WHEN 1 THEN b ELSE c.c END AS passed, label = 'no_such_rule' AS unknown FROM (SELECT c.doc_id, c.k, v.rule, v.label, v.a, v.b, v.c FROM c, v) c"""
 
 
+def acceptance_files(spark, sf_dir):
+    """Acceptance files written from customers and read as cases."""
+    c, k = _read(spark, sf_dir, "customer"), F.col("c_custkey")
+    body = F.concat(
+        F.lit("# a case\nid: case-"), k.cast("string"), F.lit("\ngate: text-mvp\nexpectedMode: pdf-text\nmust:\n  - extract_title # yes\n"), F.when(k % 2 == 0, "  - preserve_lists\n").otherwise(""), F.lit("mustNot:\n  - emit_empty_markdown\nmetrics:\n  minTextCoverage: 0.98\n  name: x\nsnippets:\n  - page: "),
+        (k % 9).cast("string"), F.lit('\n    contains: "'), F.col("c_name"), F.lit(': text"\nstructure:\n  expected:\n    - heading_level_1\n'),
+    )
+    cases = A.read_cases(c.select(F.concat(F.lit("cases/"), k.cast("string"), F.lit(".yaml")).alias("path"), body.alias("content")))
+    return cases.select("case_id", "gate", "expected_mode", F.array_join("must", ",").alias("must"), F.array_join("must_not", ",").alias("must_not"), F.array_join("structure", ",").alias("structure"), F.col("snippets")[0]["page"].alias("page"), F.col("snippets")[0]["contains"].alias("contains"), F.col("metrics")["minTextCoverage"].alias("coverage"), F.size("metrics").alias("n_metrics"))
+
+
+SQL["acceptance_files"] = """SELECT 'case-' || c_custkey AS case_id, 'text-mvp' AS gate, 'pdf-text' AS expected_mode, CASE WHEN c_custkey % 2 = 0 THEN 'extract_title,preserve_lists' ELSE 'extract_title' END AS must, 'emit_empty_markdown' AS must_not, 'heading_level_1' AS structure,
+    CAST(c_custkey % 9 AS INT) AS page, c_name || ': text' AS contains, 0.98::DOUBLE AS coverage, 1 AS n_metrics FROM customer"""
+
+
+def manifest_entries(spark, sf_dir):
+    """A corpus manifest written from suppliers and read back."""
+    path = fresh_path(spark, "manifest")
+    k = F.col("s_suppkey")
+    entry = F.struct(F.concat(F.lit("s"), k.cast("string")).alias("id"), F.lit("pdf").alias("kind"), F.concat(F.lit("corpus/"), "s_name", F.lit(".pdf")).alias("path"), F.struct(F.when(k % 2 == 0, "url").otherwise("generated").alias("type"), F.when(k % 2 == 0, F.concat(F.lit("https://example.org/"), k.cast("string"))).alias("url")).alias("source"),
+                     F.struct(F.lit("CC0-1.0").alias("name"), F.lit("none").alias("notes")).alias("license"), F.when(k % 3 > 0, F.array(F.lit("tagged"), F.lit("two-column"))).alias("features"))
+    whole = _read(spark, sf_dir, "supplier").agg(F.collect_list(entry).alias("entries")).select(F.to_json(F.struct(F.lit(1).alias("schemaVersion"), "entries")).alias("value"))  # a manifest is one small file
+    whole.write.text(path)
+    return A.read_manifest(spark, path).withColumn("features", F.array_join("features", ",")).drop("acceptance_path")
+
+
+SQL["manifest_entries"] = "SELECT 's' || s_suppkey AS id, 'pdf' AS kind, 'corpus/' || s_name || '.pdf' AS path, CASE WHEN s_suppkey % 2 = 0 THEN 'url' ELSE 'generated' END AS source_type, CASE WHEN s_suppkey % 2 = 0 THEN 'https://example.org/' || s_suppkey END AS url, 'CC0-1.0' AS license, CASE WHEN s_suppkey % 3 > 0 THEN 'tagged,two-column' ELSE '' END AS features FROM supplier"
+
+
 def pdf_observed(spark, sf_dir):
     """What the reader observes in files of eight structures and in turned and cropped pages."""
     from ..operators.pipeline import by_path, convert_documents
@@ -470,7 +499,7 @@ SQL["line_samples"] = f"WITH {LINES}, n AS (SELECT doc_id, line_no, text, row_nu
 QUERIES = {
     name: globals()[name]
     for name in (
-        "grid_shapes", "grid_cells", "grid_lines", "grid_summary", "grid_exports", "html_table_cells", "html_table_diff", "public_tables", "rendered_gate", "hyphenation", "memory_profile", "snippet_pages", "trace_sanitized", "acceptance_rules", "pdf_observed",
+        "grid_shapes", "grid_cells", "grid_lines", "grid_summary", "grid_exports", "html_table_cells", "html_table_diff", "public_tables", "rendered_gate", "hyphenation", "memory_profile", "snippet_pages", "trace_sanitized", "acceptance_rules", "acceptance_files", "manifest_entries", "pdf_observed",
         "preprocessing_plan", "gpu_plan", "ocr_languages", "script_languages", "binarized", "adaptive", "ocr_results", "csv_read_back", "ocr_debug_files", "marked_lines", "outline_levels", "coalesced_spans", "sidebars", "text_directions",
         "vertical_columns", "tag_conflicts", "figure_blocks", "alt_texts", "line_samples",
     )

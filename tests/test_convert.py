@@ -40,11 +40,11 @@ GRID = b"72 610 360 90 re S 192 610 m 192 700 l S 312 610 m 312 700 l S 72 670 m
 
 
 def test_ruled_table():
-    cells = [("Quarter", "Revenue", "Cost"), ("Q1", "10", "=2"), ("Q2", "20", "4|5")]
+    cells = [("Season", "Earned", "Spent"), ("dry", "10", "=2"), ("wet", "20", "4|5")]
     page = [(72, 740, 22, "Report"), *[(82 + 120 * c, 682 - 30 * r, 11, t) for r, row in enumerate(cells) for c, t in enumerate(row)], (72, 560, 12, "After it.")]
     out = md([page], {0: GRID})
-    assert "| Quarter | Revenue | Cost |\n| --- | ---: | --- |\n| Q1 | 10 | =2 |\n| Q2 | 20 | 4\\|5 |" in out["markdown"] and out["markdown"].endswith("After it.\n")
-    assert out["csv"][0] == {"asset_id": "table-page-1-1-csv", "path": "assets/table-page-1-1-csv.csv", "page_index": 0, "content": "Quarter,Revenue,Cost\nQ1,10,'=2\nQ2,20,4|5\n"}
+    assert "| Season | Earned | Spent |\n| --- | ---: | --- |\n| dry | 10 | =2 |\n| wet | 20 | 4\\|5 |" in out["markdown"] and out["markdown"].endswith("After it.\n")
+    assert out["csv"][0] == {"asset_id": "table-page-1-1-csv", "path": "assets/table-page-1-1-csv.csv", "page_index": 0, "content": "Season,Earned,Spent\ndry,10,'=2\nwet,20,4|5\n"}
     assert out["tables"][0]["confidence"] == 0.95 and out["tables"][0]["complete"]
 
 

@@ -104,7 +104,9 @@ def test_command_line(spark, tmp_path, capsys):
     from docflow import __main__ as cli
 
     (tmp_path / "a.pdf").write_bytes(PDF)
-    assert cli.main([str(tmp_path)]) == 0
+    assert cli.main([str(tmp_path), "--debug-trace", str(tmp_path / "trace"), "--password", "hush"]) == 0
+    trace = spark.read.text(str(tmp_path / "trace")).first().value
+    assert '"event":"document"' in trace and '"password":"[redacted]"' in trace and '"passwordProvided":true' in trace and "hush" not in trace
     assert capsys.readouterr().out.endswith("More of it.\n")
     with pytest.raises(SystemExit):
         cli.main([str(tmp_path), "--jso"])

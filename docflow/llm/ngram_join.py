@@ -4,8 +4,10 @@ Nodes are the distinct texts (classes of equal documents). A text's n-gram set g
 numbers are chosen so that a pair at the threshold shares a band with probability `recall` at least.
 1. Texts are shuffled by band hash. Buckets of one text go; in those of up to BLOCK a pair of texts is plausible if its
    signatures agree as often as the threshold asks, less SLACK standard errors, and the bucket yields a spanning
-   forest of its plausible pairs, not the pairs. Texts in larger (hot) buckets meet by pairs of hot buckets instead: those
-   that share two are joined to the least of them, without any comparison. So each text is shuffled a bounded number of times,
+   forest of its plausible pairs, not the pairs. Texts in larger (hot) buckets meet by single hashes instead. Plausible pairs
+   agree in some number of hashes (`need`), so with hashes ordered from rare to common both have the rarest one they share among
+   all but the need - 1 most common of their own. Buckets of those up to BLOCK are compared as above; the texts of a larger one are all
+   joined to the least of them. So no plausible pair of a bucket is lost, and each text is shuffled a bounded number of times,
    however large a bucket is.
 2. The components of those edges are the groups within which all links are looked for. In each, pairs are verified on full
    n-gram sets, and what leaves the task is each text's number of links and a spanning forest of the links.
@@ -32,8 +34,8 @@ from .textkernel import Block, batches, fixed_width, mix, ngram_hashes, span_has
 
 THRESHOLD, RECALL, N_GRAM, ROWS = 0.5, 0.99, 3, 3
 BLOCK, BLOCK_GRAMS, SLACK = 512, 2_000_000, 4.0
-#: Pivots of a large group, on average; hot buckets that each of a text's is paired with.
-PIVOTS, NEXT = 16, 4
+#: Pivots of a large group, on average.
+PIVOTS = 16
 _U = np.uint64
 
 
@@ -215,15 +217,24 @@ def _blocks(n: str, grams: str):
     return F.ceil(F.greatest(F.col(n) / BLOCK, F.col(grams) / BLOCK_GRAMS))
 
 
+def _shared(rows: DataFrame) -> DataFrame:
+    """Rows (band, h, key) of the buckets of two texts or more, with their size."""
+    # counted before the shuffle as far as possible; a hot bucket is split by the join, and never in one task
+    return rows.join(rows.groupBy("band", "h").agg(F.count(F.lit(1)).alias("size")).where("size > 1").hint("merge"), ["band", "h"])
+
+
+def _rare(members: DataFrame, need: int) -> DataFrame:
+    """Of the members (band, h, key, size) of buckets, each text's without its need - 1 most common ones. Texts that share
+    `need` buckets still share one: the rarest they share, as each has the need - 1 others after it. Ties go by bucket."""
+    lists = members.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("size", "band", "h"))).alias("all"))  # one a band at most
+    kept = F.slice("all", F.lit(1), F.greatest(F.size("all") - F.lit(need - 1), F.lit(0)))
+    return lists.select("key", F.explode(kept).alias("x")).select("x.band", "x.h", "key", "x.size")
+
+
 def _hot_edges(hot: DataFrame) -> DataFrame:
-    """Edges a, b from the members (band, h, key) of hot buckets: each text with the least one that shares a pair of hot
-    buckets with it. A text's hot buckets are paired with the NEXT ones after them, so up to NEXT + 1 of them give all pairs."""
-    lists = hot.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("band", "h"))).alias("hot"))  # one a band at most
-    pair = lambda x, y: F.struct(x["band"].alias("b1"), x["h"].alias("h1"), y["band"].alias("b2"), y["h"].alias("h2"))
-    pairs = lists.select("key", F.explode(F.flatten(F.transform("hot", lambda x, i: F.transform(F.slice("hot", i + 2, F.lit(NEXT)), lambda y: pair(x, y))))).alias("p")).select("key", "p.*")
-    by = ["b1", "h1", "b2", "h2"]
-    heads = pairs.groupBy(*by).agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return pairs.join(heads.hint("merge"), by).where("key != head").select(F.col("key").alias("a"), F.col("head").alias("b")).distinct()
+    """Edges a, b from the members (band, h, key) of hot buckets: each text with the least one of each of its buckets."""
+    heads = hot.groupBy("band", "h").agg(F.min("key").alias("head"))
+    return hot.join(heads.hint("merge"), ["band", "h"]).where("key != head").select(F.col("key").alias("a"), F.col("head").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, n: int = N_GRAM, rows: int = ROWS) -> DataFrame:
@@ -240,6 +251,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     bands = band_count(threshold, recall, rows)
     hashes = bands * rows
     least = threshold - SLACK * math.sqrt(threshold * (1 - threshold) / hashes)
+    need = max(rows, math.ceil(least * hashes - 1e-9))  # texts of one bucket agree in its hashes at least
     small_batches(docs.sparkSession)
     whole = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5("text")))
 
@@ -272,9 +284,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             )
 
     banded = classes.select("key", "sig", "grams").mapInArrow(band_rows, "band int, h long, key binary")
-    # counted before the shuffle as far as possible; a hot bucket is split by the join, and never in one task
-    buckets = banded.groupBy("band", "h").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = saved(banded.join(buckets.hint("merge"), ["band", "h"]), "ngram_members")
+    members = saved(_shared(banded), "ngram_members")
 
     def narrow(it):  # 8 bits a hash suffice to tell plausible pairs
         for batch in it:
@@ -282,10 +292,23 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             raw = sig.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([raw[k * hashes : (k + 1) * hashes] for k in range(batch.num_rows)], pa.binary())], names=["key", "sig"])
 
-    cold = members.where(F.col("size") <= BLOCK).select("band", "h", "key").join(classes.select("key", "sig").mapInArrow(narrow, "key binary, sig binary").hint("merge"), "key")
+    def hash_rows(it):  # each hash as a band of its own, after the others
+        for batch in it:
+            sig = fixed_width(batch.column(1), hashes * 2).view(np.uint16).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.tile(np.arange(bands, bands + hashes, dtype=np.int32), batch.num_rows)), pa.array(sig.reshape(-1)), batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), hashes)))], names=["band", "h", "key"]
+            )
+
+    hot, cold = members.where(F.col("size") > BLOCK), members.where(F.col("size") <= BLOCK)
+    any_hot = not hot.isEmpty()
+    if any_hot:
+        of_hot = saved(classes.select("key", "sig").join(hot.select("key").distinct().hint("merge"), "key"), "ngram_hot")
+        single = saved(_rare(_shared(of_hot.mapInArrow(hash_rows, "band int, h long, key binary")), need), "ngram_hashes")
+        hot, cold = single.where(F.col("size") > BLOCK), cold.unionByName(single.where(F.col("size") <= BLOCK))
+    cold = cold.select("band", "h", "key").join(classes.select("key", "sig").mapInArrow(narrow, "key binary, sig binary").hint("merge"), "key")
     forest = cold.repartition("band", "h").sortWithinPartitions("band", "h").select("band", "h", "key", "sig").mapInArrow(_forests(bands, rows, least), "a binary, b binary")
-    if not members.where(F.col("size") > BLOCK).isEmpty():
-        forest = forest.union(_hot_edges(members.where(F.col("size") > BLOCK).select("band", "h", "key")))
+    if any_hot:
+        forest = forest.union(_hot_edges(hot.select("band", "h", "key")))
     groups = saved(components(forest, "ngram_candidates"), "ngram_groups")
     free_shuffles(docs.sparkSession)
 

@@ -331,6 +331,38 @@ def test_ngram_join_of_hot_groups(spark, monkeypatch):
     assert max(counts) <= 1.01
 
 
+def hot_pairs() -> list[str]:
+    """60 texts around a long passage, and pairs with part of it whose links rest on one bucket each, that of the passage."""
+    shared, texts = text(90, 700), [text(90, 700) + " " + text(6, 10_000 + k) for k in range(60)]
+    for k in (206, 281, 351, 501, 941, 1025, 1373, 1428, 1784, 1985):  # picked by their signatures
+        texts += [f"{shared} {text(100, 20_000 + 3 * k)} {text(90, 20_000 + 3 * k + own)}" for own in (1, 2)]
+    return texts
+
+
+def test_ngram_join_of_pairs_that_share_a_single_hot_bucket(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 20)
+    texts = hot_pairs()
+    near = ngram_join.jaccard_matrix(texts, 3) >= ngram_join.THRESHOLD
+    want = {k: int(near[k].sum()) - 1 for k in range(len(texts))}
+    assert all(want[k] == 1 and near[k, k ^ 1] for k in range(60, len(texts)))
+    got = ngram_join.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {x.doc_id: x.n_links for x in got} == want
+    assert all(x.group_id == (x.doc_id & ~1 if x.doc_id >= 60 else 0) for x in got)
+
+
+def test_rarest_buckets_hold_one_that_texts_share(spark):
+    r, need = random.Random(5), 4
+    buckets = [set(r.choices(range(30), [1 / (1 + b) for b in range(30)], k=9)) for _ in range(80)]
+    size = Counter(b for x in buckets for b in x)
+    members = spark.createDataFrame([(b, 0, bytes([k]), size[b]) for k, x in enumerate(buckets) for b in x if size[b] > 1], "band int, h long, key binary, size long")
+    kept = [set() for _ in buckets]
+    for x in ngram_join._rare(members, need).collect():
+        kept[x.key[0]].add(x.band)
+    assert sum(map(len, kept)) == sum(max(0, sum(size[b] > 1 for b in x) - need + 1) for x in buckets)
+    pairs = [(a, b) for a in range(80) for b in range(a) if len(buckets[a] & buckets[b]) >= need]
+    assert len(pairs) > 100 and all(kept[a] & kept[b] for a, b in pairs)
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000 + i) for i in range(1, 400)]

@@ -7,8 +7,11 @@ import random
 import pytest
 
 import corpus_pipeline
+from docflow.llm import ngram_join
 from docflow.llm.shared import saved
 
+from .test_operators import hot_pairs
+
 r = random.Random(5)
 WORDS = ["".join(r.choice("abcdefghijklm") for _ in range(r.randint(2, 8))) for _ in range(3000)]
 
@@ -48,3 +51,10 @@ def test_stages(spark, sf_dir):
     assert mixed.count() > cut.count() and encoded.count() == mixed.count()
     again = corpus_pipeline.run(spark, sf_dir)
     assert sorted((x.doc_id, x.n_tokens, x.ids_sha256) for x in again.collect()) == sorted((x.doc_id, x.n_tokens, x.ids_sha256) for x in encoded.collect())
+
+
+def test_one_of_each_pair_that_shares_a_single_hot_bucket(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 20)
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(hot_pairs())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(map(tuple, corpus_pipeline.one_of_each_group(spark, docs, sf_dir).collect())) == [rows[0], *rows[60::2]]

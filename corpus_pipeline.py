@@ -6,12 +6,14 @@ stage by stage, each result is written and reread as the next one's docs; run()
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docflow.llm import bpe, chunk_dedup, mixing, ngram_join, quality_rules
-from docflow.llm.shared import saved
+from docflow.llm.shared import free_heap, saved
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -42,12 +44,23 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, BYTE_BPE, with_ids=True)
 
 
+def _lean(stage):
+    """The stage, begun by executors without the heap that the stages before it have left."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        free_heap(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("quality rules", keep_good),
-    ("n-gram Jaccard join", one_of_each_group),
-    ("substring dedup", cut_repeats),
-    ("mixing sources to target weights", mix),
-    ("byte-level BPE encoding and decoding", encode),
+    ("quality rules", _lean(keep_good)),
+    ("n-gram Jaccard join", _lean(one_of_each_group)),
+    ("substring dedup", _lean(cut_repeats)),
+    ("mixing sources to target weights", _lean(mix)),
+    ("byte-level BPE encoding and decoding", _lean(encode)),
 ]
 
 #: The near-duplicate and passage stages compare hashes that DuckDB doesn't have, so the whole has no SQL.

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from docflow.llm import ngram_join
@@ -58,3 +59,13 @@ def test_one_of_each_pair_that_shares_a_single_hot_bucket(spark, sf_dir, monkeyp
     rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(hot_pairs())]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(map(tuple, corpus_pipeline.one_of_each_group(spark, docs, sf_dir).collect())) == [rows[0], *rows[60::2]]
+
+
+def test_a_stage_begins_without_the_heap_of_those_before(spark, sf_dir):
+    heap = spark._jvm.java.lang.Runtime.getRuntime().totalMemory
+    docs = spark.read.parquet(sf_dir + "/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[2], corpus_pipeline.STAGES[4]:  # they run no job before their result is asked for
+        spark.range(1).select(F.length(F.repeat(F.lit("x"), (F.col("id") + (3 << 29)).cast("int")))).collect()
+        before = heap()
+        stage(spark, docs, sf_dir)
+        assert heap() < before - (1 << 28)

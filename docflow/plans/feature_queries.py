@@ -245,12 +245,11 @@ def pdf_observed(spark, sf_dir):
     from ..operators.pipeline import by_path, convert_documents
     from ..shared import saved
     from ..sources.pdf import samples
-    from ..sources.pdf.reader import parse_files
-    from .pdf_queries import _files
+    from .pdf_queries import _parsed
 
     kinds = samples.STRUCTURES
-    files = _files(spark, sf_dir, "part", ["p_partkey"], lambda k: samples.page_geometry(k) if k % 9 == 8 else samples.structured(kinds[k % 9], f"Part {k}\nsecond line\nNote: it."))
-    parsed = saved(parse_files(files, tolerant=True), "observed_parsed")
+    file = lambda k: samples.page_geometry(k) if k % 9 == 8 else samples.structured(kinds[k % 9], f"Part {k}\nsecond line\nNote: it.")
+    parsed = saved(_parsed(spark, sf_dir, "part", ["p_partkey"], file, tolerant=True), "observed_parsed")
     seen = A.observed_features(parsed, convert_documents(parsed))
     return by_path(seen, parsed).select(F.col("path").cast("long").alias("part"), F.array_join("observed", ",").alias("observed"))
 

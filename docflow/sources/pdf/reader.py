@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ...shared import spread
+from ...shared import spread, spread_evenly
 from .content import Interpreter, merge_rulings, page_size, scan_streams
 from .document import Document, Limits
 from .values import PdfError
@@ -73,7 +73,7 @@ def parse_file(data: bytes, *, password: str | None = None, tolerant: bool = Fal
         return out
     out["pdf_version"], out["parse_mode"] = doc.version, doc.mode
     for name, read in (("outlines", doc.outlines), ("form_fields", doc.form_fields), ("annotations", doc.annotations), ("attachments", doc.attachments)):
-        if only is not None and name not in only:
+        if only is not None and name not in only and "warnings" not in only:
             continue
         try:
             out[name] = read()
@@ -82,14 +82,17 @@ def parse_file(data: bytes, *, password: str | None = None, tolerant: bool = Fal
     if not attachments:
         out["attachments"] = [a | {"content": None} for a in out["attachments"]]
     try:
-        out["has_xfa"], marks = doc.has_xfa(), doc.structure() if only is None or "lines" in only else {}
+        out["has_xfa"], marks = doc.has_xfa(), doc.structure() if only is None or "lines" in only or "warnings" in only else {}
     except _BROKEN as e:
         marks = {}
         out["warnings"].append(_warning(e))
     rulings: list[dict] = []
+    drawn = only is None or not {"lines", "rulings", "images", "warnings"}.isdisjoint(only)
     for page in doc.pages:
         w, h = page_size(page)
         out["pages"].append({"page_index": page.index, "width_pt": w, "height_pt": h, "rotation": page.rotation, "user_unit": page.unit, "media_box": page.media, "crop_box": page.crop})
+        if not drawn:
+            continue
         it = Interpreter(doc, page, marks)
         try:
             if time.monotonic() - began > limits.max_seconds:
@@ -121,26 +124,51 @@ def parse_files(
     in a column of binary (password_col; null: none), which scales with the files. only: the relations that are wanted; the others are
     empty, and what only they need isn't read."""
     passwords = passwords or {}
-    arrow = to_arrow_schema(SCHEMA)
 
     def run(it):
-        for batch in it:
-            keys = batch.column(2).to_pylist()
-            rows, size = [], 0
-            for k, (path, data) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
-                raw = data.as_py() or b""
-                row = parse_file(raw, password=keys[k] or passwords.get((path or "").rpartition("/")[2], password), tolerant=tolerant, limits=limits, attachments=attachments, only=only)
-                rows.append(row | {"doc_id": hashlib.sha256(raw).hexdigest(), "path": path})
-                size += len(raw)
-                if size > _BATCH_BYTES or len(rows) == _BATCH_FILES:
-                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-                    rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+        def read():
+            for batch in it:
+                keys = batch.column(2).to_pylist()
+                for k, (path, data) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
+                    raw = data.as_py() or b""
+                    yield path, raw, parse_file(raw, password=keys[k] or passwords.get((path or "").rpartition("/")[2], password), tolerant=tolerant, limits=limits, attachments=attachments, only=only)
+
+        yield from _batches(read())
 
     return spread(binary.select("path", "content", (F.col(password_col) if password_col else F.lit(None)).cast("string").alias("password"))).mapInArrow(run, SCHEMA)
 
 
+def parse_built(rows: DataFrame, build, *, tolerant: bool = False, limits: Limits | None = None, attachments: bool = False, only: tuple[str, ...] | None = None) -> DataFrame:
+    """parse_files of the files that build(*values) makes of rows; path: the first column. Rows are spread over the cores, and a file is read
+    where and when it is built, so only those of one small batch are ever held."""
+
+    def run(it):
+        def read():
+            for batch in it:
+                for path, *rest in zip(*batch.columns):
+                    path = path.as_py()
+                    raw = build(path, *(x.as_py() for x in rest))
+                    yield str(path), raw, parse_file(raw, tolerant=tolerant, limits=limits, attachments=attachments, only=only)
+
+        yield from _batches(read())
+
+    return spread_evenly(rows).mapInArrow(run, SCHEMA)
+
+
+def _batches(parsed):
+    """Batches of SCHEMA of files (path, content, relations)."""
+    arrow = to_arrow_schema(SCHEMA)
+    rows, size = [], 0
+    for path, raw, row in parsed:
+        rows.append(row | {"doc_id": hashlib.sha256(raw).hexdigest(), "path": path})
+        size += len(raw)
+        if size > _BATCH_BYTES or len(rows) == _BATCH_FILES:
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+            rows, size = [], 0
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+
 def relation(parsed: DataFrame, name: str) -> DataFrame:
     """One of RELATIONS as rows, with doc_id."""
     return parsed.select("doc_id", F.explode(name).alias("r")).select("doc_id", "r.*")

@@ -80,14 +80,18 @@ MODES = {
 
 def observed_features(parsed: DataFrame, converted: DataFrame) -> DataFrame:
     """doc_id and observed: what the parsed files and their conversion show, by the names that cases use. One row for each of converted."""
+    return observed(converted.select("doc_id", "markdown", "tables", "figures").join(parsed.dropDuplicates(["doc_id"]).drop("warnings"), "doc_id", "left"))
+
+
+def observed(files: DataFrame) -> DataFrame:
+    """observed_features of files with what was read of each and its conversion in one row. Where they come partitioned by doc_id, nothing is shuffled."""
     from ..sources.pdf.reader import relation
     from . import layout as L
 
-    parsed = parsed.dropDuplicates(["doc_id"])
-    lines = relation(parsed, "lines")
+    lines = relation(files, "lines")
     columns = L.detect_columns(lines).groupBy("doc_id").agg(F.max(F.size("columns") >= 2).alias("two"))
-    edges = lines.join(L.remove_running_content(lines).select("doc_id", "line_no"), ["doc_id", "line_no"], "left_anti").groupBy("doc_id").agg(F.max(F.col("y") >= 740).alias("top"), F.max(F.col("y") <= 60).alias("low"))
-    facts = converted.select("doc_id", "markdown", "tables", "figures").join(parsed.drop("warnings"), "doc_id", "left").join(columns, "doc_id", "left").join(edges, "doc_id", "left")
+    edges = L.running_content(lines, "gone").where(F.coalesce("gone", F.lit(True))).groupBy("doc_id").agg(F.max(F.col("y") >= 740).alias("top"), F.max(F.col("y") <= 60).alias("low"))
+    facts = files.join(columns, "doc_id", "left").join(edges, "doc_id", "left")
     page = lambda test: F.exists("pages", test)
     md = lambda p: F.col("markdown").rlike(p)
     shown = {

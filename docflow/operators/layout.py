@@ -10,6 +10,11 @@ from ..functions import text as T
 
 def remove_running_content(lines: DataFrame, *, keep_titles: bool = False) -> DataFrame:
     """Page numbers go, and so do small lines at the page's edges whose text the document has there twice or more."""
+    return running_content(lines, "_gone", keep_titles=keep_titles).where("not _gone").drop("_gone")
+
+
+def running_content(lines: DataFrame, name: str, *, keep_titles: bool = False) -> DataFrame:
+    """lines with what remove_running_content takes away marked in a column of that name."""
     norm = T.collapse("text")
     candidate = T.is_running_candidate("font_size", "y")
     times = F.count(F.when(candidate, 1)).over(Window.partitionBy("doc_id", norm))
@@ -17,7 +22,7 @@ def remove_running_content(lines: DataFrame, *, keep_titles: bool = False) -> Da
     if keep_titles:
         repeated &= ~T.is_running_title("text", "font_size", "y")
     gone = T.is_page_number("text", "font_size", "y") | repeated
-    return lines.withColumn("_gone", gone).where("not _gone").drop("_gone")
+    return lines.withColumn(name, gone)
 
 
 def _fold_rows(items: Column) -> Column:

@@ -83,15 +83,16 @@ def preprocess_images(images: DataFrame, *, mode: str = "adaptive", threshold: i
     """images (image_id, width, height, rgba) with rgba binarized, by Arrow batches. Pixels that don't fit the size give null."""
 
     def run(it):
-        for batch in it:
-            out = []
-            for w, h, raw in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
-                if raw is None or w is None or h is None or len(raw) != w * h * 4:
-                    out.append(None)
-                    continue
-                px = np.frombuffer(raw, np.uint8).reshape(h, w, 4)
-                out.append((adaptive_threshold(px, radius, bias) if mode == "adaptive" else binarize(px, threshold)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.binary())], names=["image_id", "width", "height", "rgba"])
+        for whole in it:
+            for at in range(0, whole.num_rows, 64):
+                batch, out = whole.slice(at, 64), []
+                for w, h, raw in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+                    if raw is None or w is None or h is None or len(raw) != w * h * 4:
+                        out.append(None)
+                        continue
+                    px = np.frombuffer(raw, np.uint8).reshape(h, w, 4)
+                    out.append((adaptive_threshold(px, radius, bias) if mode == "adaptive" else binarize(px, threshold)).tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.binary())], names=["image_id", "width", "height", "rgba"])
 
     rows = images.select("image_id", F.col("width").cast("int"), F.col("height").cast("int"), "rgba")
     return rows.mapInArrow(run, f"image_id {images.schema['image_id'].dataType.simpleString()}, width int, height int, rgba binary")

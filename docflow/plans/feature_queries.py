@@ -17,7 +17,7 @@ from ..operators import raster as R
 from ..operators import summaries as SU
 from ..operators import tables as TB
 from ..operators import warnings as W
-from ..shared import fresh_path
+from ..shared import fresh_path, spread_evenly
 from ..sources import ocr_json
 from ..sources import sinks as SK
 from .table_queries import CELLS, _cells
@@ -242,16 +242,16 @@ SQL["manifest_entries"] = "SELECT 's' || s_suppkey AS id, 'pdf' AS kind, 'corpus
 
 def pdf_observed(spark, sf_dir):
     """What the reader observes in files of eight structures and in turned and cropped pages."""
-    from ..operators.pipeline import by_path, convert_documents
+    from ..operators.pipeline import convert_built
     from ..shared import saved
     from ..sources.pdf import samples
-    from .pdf_queries import _parsed
 
     kinds = samples.STRUCTURES
     file = lambda k: samples.page_geometry(k) if k % 9 == 8 else samples.structured(kinds[k % 9], f"Part {k}\nsecond line\nNote: it.")
-    parsed = saved(_parsed(spark, sf_dir, "part", ["p_partkey"], file, tolerant=True), "observed_parsed")
-    seen = A.observed_features(parsed, convert_documents(parsed))
-    return by_path(seen, parsed).select(F.col("path").cast("long").alias("part"), F.array_join("observed", ",").alias("observed"))
+    kept = ("parse_mode", "encrypted", "linearized", "n_revisions", "n_object_streams", "pages", "lines", "images")
+    whole = convert_built(_read(spark, sf_dir, "part").select("p_partkey"), file, keep=kept, tolerant=True).select("path", *kept, "markdown", "tables", "figures")
+    files = saved(whole, "observed").withColumnRenamed("path", "doc_id").repartition("doc_id")
+    return A.observed(files).select(F.col("doc_id").cast("long").alias("part"), F.array_join("observed", ",").alias("observed"))
 
 
 SQL["pdf_observed"] = """SELECT p_partkey AS part, CASE p_partkey % 9 WHEN 1 THEN 'xref-stream,object-stream,' WHEN 2 THEN 'xref-stream,object-stream,' WHEN 3 THEN 'incremental-update,xref-prev,' WHEN 5 THEN 'encrypted,rc4-40,standard-security-handler-r2,' ELSE '' END
@@ -315,7 +315,7 @@ def binarized(spark, sf_dir):
     grey = lambda v: F.concat(F.lpad(F.hex(v), 2, "0"), F.lpad(F.hex(v), 2, "0"), F.lpad(F.hex(v), 2, "0"), F.lit("7F"))
     k = F.col("p_partkey")
     px = F.unhex(F.concat(F.repeat(grey(k % 256), F.col("p_size")), F.repeat(grey(k * 7 % 256), F.col("p_size"))))
-    out = R.preprocess_images(_read(spark, sf_dir, "part").select(k.alias("image_id"), F.col("p_size").alias("width"), F.lit(2).alias("height"), px.alias("rgba")), mode="binarize")
+    out = R.preprocess_images(spread_evenly(_read(spark, sf_dir, "part").select("p_partkey", "p_size")).select(k.alias("image_id"), F.col("p_size").alias("width"), F.lit(2).alias("height"), px.alias("rgba")), mode="binarize")
     return out.select("image_id", "width", F.md5("rgba").alias("md5"))
 
 
@@ -327,7 +327,7 @@ def adaptive(spark, sf_dir):
     g = F.col("p_partkey") % 200 + 50
     px = lambda v: F.concat(F.lpad(F.hex(v), 2, "0"), F.lpad(F.hex(v), 2, "0"), F.lpad(F.hex(v), 2, "0"), F.lit("FF"))
     raw = F.unhex(F.concat(F.repeat(px(g), F.lit(40 * 20 + 20)), px(g - F.col("p_partkey") % 20), F.repeat(px(g), F.lit(40 * 40 - 40 * 20 - 21))))
-    out = R.preprocess_images(_read(spark, sf_dir, "part").select(F.col("p_partkey").alias("image_id"), F.lit(40).alias("width"), F.lit(40).alias("height"), raw.alias("rgba")))
+    out = R.preprocess_images(spread_evenly(_read(spark, sf_dir, "part").select("p_partkey")).select(F.col("p_partkey").alias("image_id"), F.lit(40).alias("width"), F.lit(40).alias("height"), raw.alias("rgba")))
     h = F.hex("rgba")
     return out.select("image_id", (F.length(F.regexp_replace(h, "FFFFFFFF", "")) / 8).cast("int").alias("n_black"), (F.instr(h, "000000FF") / 8).cast("int").alias("first_black"))
 

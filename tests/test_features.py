@@ -126,3 +126,30 @@ def test_scan_of_streams_beside_any_bytes():
     r = reader.parse_file(data, tolerant=True)
     assert r["parse_mode"] == "stream-scan"
     assert [x["text"] for x in r["lines"]] == ["one", "two", "endstream", zlib.decompress(packed).split(b"(")[1].split(b")")[0].decode(), "last"]
+
+
+def test_grids_of_many_pages_in_one_call(spark):
+    """No call of Python for each page; pages without rulings have no cells, and the page without number has its own."""
+    rule = "doc_id long, page_index int, orientation string, x1 double, y1 double, x2 double, y2 double"
+    rows = [(1, p, "h", 0.0, y, 100.0, y) for p in (0, None) for y in (0.0, 20.0)] + [(1, p, "v", x, 0.0, x, 20.0) for p in (0, None) for x in (0.0, 50.0, 100.0)]
+    lines = [(1, p, 7, t, 60.0, 6.0, 10.0, 8.0) for p, t in ((0, "a"), (None, "b"), (5, "c"))] + [(1, 0, 8, " ", 10.0, 6.0, 10.0, 8.0), (1, 0, 9, "x", None, 6.0, 10.0, 8.0)]
+    cells = grids.ruled_cells(spark.createDataFrame(rows, rule), spark.createDataFrame(lines, "doc_id long, page_index int, line_no long, text string, x double, y double, width double, height double"))
+    plan = cells._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroups" not in plan and plan.count("MapInArrow") == 1
+    got = {(r.page_index, r.column_index): (r.text, r.line_nos) for r in cells.collect()}
+    assert got == {(0, 0): ("", []), (0, 1): ("a", [7]), (None, 0): ("", []), (None, 1): ("b", [7])}
+
+
+def test_images_of_small_tables_are_spread(spark):
+    from docflow.plans import feature_queries
+
+    for name in ("adaptive", "binarized"):
+        assert feature_queries.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+
+
+def test_observed_features_shuffle_no_wide_rows(spark):
+    from docflow.plans import feature_queries
+
+    out = feature_queries.pdf_observed(spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3 and "MapInArrow" not in plan

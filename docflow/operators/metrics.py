@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from ..functions import text as T
 from ..functions.edit_distance import characters, edit_distance
@@ -22,12 +24,25 @@ def token_counts(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def text_coverage(pairs: DataFrame) -> DataFrame:
     """pairs (id, expected, actual; of one id counted together): n_expected, n_actual, n_matched tokens as multisets and coverage (1 without
     expected ones)."""
-    side = lambda c, e: F.transform(F.coalesce(T.tokens(c), F.array().cast("array<string>")), lambda t: F.struct(t.alias("token"), F.lit(e).alias("e"), F.lit(1 - e).alias("a")))
-    none = F.array(F.struct(F.lit(None).cast("string").alias("token"), F.lit(0).alias("e"), F.lit(0).alias("a")))  # so that no id is lost
-    # both texts of a pair are in one row: they are shuffled once, whole, and counted where they are
-    each = pairs.repartition("id").select("id", F.explode(F.concat(side("expected", 1), side("actual", 0), none)).alias("t")).select("id", "t.*")
-    n = each.groupBy("id", "token").agg(F.sum("e").alias("e"), F.sum("a").alias("a"))
-    out = n.groupBy("id").agg(F.sum("e").alias("n_expected"), F.sum("a").alias("n_actual"), F.sum(F.least("e", "a")).alias("n_matched"))
+    none = F.array().cast("array<string>")
+    each = pairs.select("id", F.coalesce(T.tokens("expected"), none).alias("e"), F.coalesce(T.tokens("actual"), none).alias("a"))
+    # a pair is counted in its row, where it is; only where an id has several are their tokens brought together. To look for those takes the ids alone
+    if not pairs.groupBy("id").count().where("count > 1").isEmpty():
+        each = each.groupBy("id").agg(F.flatten(F.collect_list("e")).alias("e"), F.flatten(F.collect_list("a")).alias("a"))
+
+    def run(it):
+        for whole in it:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                rows = []
+                for e, a in zip(batch.column(1), batch.column(2)):
+                    e, a = e.as_py(), a.as_py()
+                    n = Counter(e)
+                    rows.append((len(e), len(a), sum(min(k, n[t]) for t, k in Counter(a).items() if t in n)))
+                cols = [pa.array(c, pa.int64()) for c in zip(*rows)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["id", "n_expected", "n_actual", "n_matched"])
+
+    out = each.mapInArrow(run, StructType([pairs.schema["id"], *(StructField(c, LongType()) for c in ("n_expected", "n_actual", "n_matched"))]))
     return out.select("id", "n_expected", "n_actual", "n_matched", F.when(F.col("n_expected") == 0, 1.0).otherwise(F.col("n_matched") / F.col("n_expected")).alias("coverage"))
 
 

@@ -97,3 +97,15 @@ def test_table_confidence_and_ocr_reconcile_take_all_rows(spark):
     rows = {r.table_id: r.n for r in Q._cells(spark, sf).groupBy("table_id").agg(F.count_distinct("row_index").alias("n")).collect()}
     assert {r.table_id: r.n_rows for r in Q.table_confidence(spark, sf).collect()} == rows
     assert Q.ocr_reconcile(spark, sf).agg(F.sum("n_ocr")).first()[0] == Q._ocr_lines(spark, sf).count()
+
+
+def test_coverage_counts_rows_of_one_id_together(spark):
+    rows = [(1, "a a b", "a c"), (1, None, "A b b"), (2, "x y", "y x z"), (None, "k", None), (None, "k l", "K k k"), (3, "", "q"), (4, None, None)]
+    got = {r.id: (r.n_expected, r.n_actual, r.n_matched, r.coverage) for r in M.text_coverage(spark.createDataFrame(rows, "id long, expected string, actual string")).collect()}
+    assert got == {1: (3, 5, 3, 1.0), 2: (2, 3, 2, 1.0), None: (3, 3, 2, 2 / 3), 3: (0, 1, 0, 1.0), 4: (0, 0, 0, 1.0)}
+
+
+def test_coverage_of_single_pairs_shuffles_no_text(spark):
+    pairs = spark.range(50).selectExpr("id", "concat('a b ', id) as expected", "'b c' as actual")
+    plan = M.text_coverage(pairs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan

@@ -155,6 +155,29 @@ def parse_built(rows: DataFrame, build, *, tolerant: bool = False, limits: Limit
     return spread_evenly(rows).mapInArrow(run, SCHEMA)
 
 
+def relation_built(rows: DataFrame, build, name: str, key: str, *, tolerant: bool = False, limits: Limits | None = None, attachments: bool = False) -> DataFrame:
+    """The rows of one relation of those files, with the first column of rows, a number, as key: as parse_built would give them with explode, but
+    made as plain rows at once."""
+    schema = S.StructType([S.StructField(key, S.LongType()), *RELATIONS[name].fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(it):
+        found = []
+        for batch in it:
+            for values in zip(*batch.columns):
+                values = [x.as_py() for x in values]
+                for x in parse_file(build(*values), tolerant=tolerant, limits=limits, attachments=attachments, only=(name,))[name]:
+                    x[key] = values[0]
+                    found.append(x)
+                if len(found) >= 512:
+                    yield pa.RecordBatch.from_pylist(found, schema=arrow)
+                    found = []
+        if found:
+            yield pa.RecordBatch.from_pylist(found, schema=arrow)
+
+    return spread_evenly(rows).mapInArrow(run, schema)
+
+
 def _batches(parsed):
     """Batches of SCHEMA of files (path, content, relations)."""
     arrow = to_arrow_schema(SCHEMA)
